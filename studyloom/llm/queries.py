@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studyloom.llm.runs import repeated_errors
+from studyloom.llm.surrogates import personal_items, redact_texts
 from studyloom.llm.tokens import encode_texts
 from studyloom.plans.tables import table
 
@@ -39,11 +40,22 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_items(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts with typed placeholders; a production run passes its own secret."""
+    return redact_texts(table(spark, folder, "documents"), "doc_id", "text", b"studyloom")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_runs": p5_runs,
     "p5_collapsed": p5_collapsed,
     "p6_ids": p6_ids,
+    "p8_found": p8_found,
+    "p8_redacted": p8_redacted,
 }
 
 ORACLES: dict[str, str] = {
