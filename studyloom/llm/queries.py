@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from studyloom.llm.runs import repeated_errors
 from studyloom.llm.surrogates import personal_items, redact_texts
 from studyloom.llm.tokens import encode_texts
+from studyloom.llm.truncation import truncated_rows, truncation_report
 from studyloom.plans.tables import table
 
 _WORDS = "replace(replace(lower(trim({0})), '-', '_'), ' ', '_')"
@@ -22,6 +23,14 @@ _RUNS = f"""
   from n group by student_id, tag, task, island having count(*) > 1"""
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncated_rows(table(spark, folder, "profile_events"), "rec_id", "channel", "task_text")
+
+
+def p1_report(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation_report(table(spark, folder, "profile_events"), "channel", "task_text")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_errors(table(spark, folder, "profile_events")).select("lo_rec_id", "hi_rec_id")
 
@@ -50,6 +59,8 @@ def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_report": p1_report,
     "p5_found": p5_found,
     "p5_runs": p5_runs,
     "p5_collapsed": p5_collapsed,
