@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from studyloom.llm.mixing import mix_sources
 from studyloom.llm.runs import repeated_errors
 from studyloom.llm.surrogates import personal_items, redact_texts
 from studyloom.llm.tokens import encode_texts
@@ -49,6 +50,14 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sources(table(spark, folder, "documents"), table(spark, folder, "source_targets")).documents
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sources(table(spark, folder, "documents"), table(spark, folder, "source_targets")).shares
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return personal_items(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -65,6 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_runs": p5_runs,
     "p5_collapsed": p5_collapsed,
     "p6_ids": p6_ids,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_redacted": p8_redacted,
 }

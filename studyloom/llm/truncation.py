@@ -356,5 +356,5 @@ def truncation_report(rows: DataFrame, source: str, text: str, threshold: float
     return (
         every.join(cut, _same("source", "s_"), "left")
         .join(lists, _same("source", "t_"), "left")
-        .select("source", "n_rows", F.coalesce("n_texts_seen", zero).alias("n_texts_seen"), F.coalesce("n_truncated", zero).alias("n_truncated"), (F.coalesce("n_truncated", zero) / F.col("n_rows")).alias("share"), "char_limits", "byte_limits")
+        .select("source", "n_rows", F.coalesce("n_texts_seen", zero).alias("n_texts_seen"), F.coalesce("n_truncated", zero).alias("n_truncated"), (F.coalesce("n_truncated", zero) / F.col("n_rows")).alias("share"), *(F.coalesce(c, F.array().cast("array<bigint>")).alias(c) for c in ("char_limits", "byte_limits")))
     )
