@@ -233,12 +233,12 @@ def parse_sections(c: Column | str) -> Column:
 
 
 def sections_to_markdown(sections: Column) -> Column:
-    """Sections under their headings in order; a heading repeated at the start of a body is dropped."""
+    """Sections under their headings in order; a heading repeated at the start of a body is dropped. Null for no map."""
     parts = [
         F.when(F.length(sections[k]) > 0, F.concat(F.lit(h + "\n\n"), strip(F.regexp_replace(strip(sections[k]), r"^##\s+\S[^\n]*\n?", ""))))
         for k, h in SECTIONS
     ]
-    return F.array_join(F.array_compact(F.array(*parts)), "\n\n")
+    return F.when(sections.isNotNull(), F.array_join(F.array_compact(F.array(*parts)), "\n\n"))
 
 
 def join_sections(*pairs: tuple[str, Column]) -> Column:

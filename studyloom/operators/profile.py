@@ -237,7 +237,7 @@ def summary(counts: DataFrame, top: DataFrame, settings: Settings = DEFAULT) ->
         ordered = F.array_sort(F.collect_list(entry))
         return df.groupBy("student_id").agg(F.array_join(F.transform(F.slice(ordered, 1, 8), lambda e: e["text"]), "; ").alias(name))
 
-    best = listed(top.where("place <= 8").withColumn("o1", F.col("place").cast("long")).withColumn("o2", F.col("tag")), "top_errors", label("tag", {}), F.lit(" "), F.format_string("%.2f", F.round("score", 6)))
+    best = listed(top.where("place <= 8").withColumn("o1", F.col("place").cast("long")).withColumn("o2", F.col("tag")), "top_errors", label("tag", {}), F.lit(" "), F.format_string("%.2f", F.round(F.round("score", 9), 2)))
     practised = listed(counts.where("attempts > 0").withColumn("o1", -F.col("attempts").cast("long")).withColumn("o2", F.col("subtype")), "practised", label("subtype", SUBTYPE_LABELS), F.lit(" "), F.col("attempts").cast("string"))
     weak = listed(counts.where("wrong > 0").withColumn("o1", -F.col("wrong").cast("long")).withColumn("o2", F.col("subtype")), "weak", label("subtype", SUBTYPE_LABELS), F.lit(" "), F.col("wrong").cast("string"))
     joined = levels.join(best, "student_id", "left").join(practised, "student_id", "left").join(weak, "student_id", "left")
