@@ -289,7 +289,7 @@ ORACLES: dict[str, str] = {
       select student_id, place, query from first join focus using (subtype) where query is not null""",
     "profile_summary": f"""with {SCORES}, {TOP.format(8)}, {COUNTS},
       t as (select student_id, sum(attempts)::bigint attempts, sum(wrong)::bigint wrong from counts group by 1),
-      a as (select student_id, string_agg(replace(tag, '_', ' ') || ' ' || format('{{:.2f}}', round(round(score, 9), 2)), '; ' order by place) top_errors from top group by 1),
+      a as (select student_id, string_agg(replace(tag, '_', ' ') || ' ' || round(round(score, 9)::decimal(18, 9), 2)::decimal(18, 2), '; ' order by place) top_errors from top group by 1),
       b as (select student_id, string_agg({label_sql("subtype")} || ' ' || attempts, '; ' order by attempts desc, subtype) practised from (select * from counts where attempts > 0 qualify row_number() over (partition by student_id order by attempts desc, subtype) <= 8) group by 1),
       c as (select student_id, string_agg({label_sql("subtype")} || ' ' || wrong, '; ' order by wrong desc, subtype) weak from (select * from counts where wrong > 0 qualify row_number() over (partition by student_id order by wrong desc, subtype) <= 8) group by 1)
       select student_id, attempts, wrong, case when attempts = 0 or (attempts - wrong) / attempts < 0.3 then 'подробный' when (attempts - wrong) / attempts < 0.6 then 'средний' else 'краткий' end detail,

@@ -343,7 +343,7 @@ ORACLES: dict[str, str] = {
     "cold_start": """with m as (select distinct p.student_id, a.task_number, a.title query, sha256(p.student_id || chr(1) || a.title) own from (select distinct student_id from profiles) p, (select * from atoms where ord % 6 = 0) a),
       n as (select *, row_number() over (partition by student_id, task_number order by own) nth from m qualify nth <= 3) select student_id, row_number() over (partition by student_id order by task_number, nth) place, query from n""",
     "task_pick": f"select task_number, arg_min(task_id, sha256(task_id || '#42')) task_id from task_bank where length(task_id) > 0 and length({strip_sql('answer')}) > 0 group by 1",
-    "callback_snapshot": f"""with t as (select student_id, string_agg(tag || '=' || format('{{:.3f}}', round(round(score, 9), 3)), ';' order by place) top_error_tags from (with {Q.SCORES}, {Q.TOP.format(8)} select * from top) group by 1),
+    "callback_snapshot": f"""with t as (select student_id, string_agg(tag || '=' || round(round(score, 9)::decimal(18, 9), 3)::decimal(18, 3), ';' order by place) top_error_tags from (with {Q.SCORES}, {Q.TOP.format(8)} select * from top) group by 1),
       {Q.ATTEMPTS}, h as (select student_id, count(*) n, 'sha256:' || left(sha256(string_agg(delivery_id::varchar, '' order by delivery_id::varchar)), 32) digest from attempts group by 1)
       select student_id, coalesce(top_error_tags, '') top_error_tags, n, digest from h left join t using (student_id)""",
 }
