@@ -149,8 +149,8 @@ def script_json(c: Column) -> Column:
 
 # Ids and words of the internal scaffold that must not reach a reader.
 _ID = r"t(?:06|1[02])_mm\d{1,2}"
-_INTERNAL = rf"(?i)(?:{_ID})|(?:phase|scaffold|mastery|micromodule|prereq|subtype)|(?:buggy.?rule|stepwise|diagnos)|(?:фаза\s*\d)|(?:порядок закрытия пробелов)"
-_META_LINE = r"(?i)^(?:в конспекте обнаружены ошибки|ниже приведены исправленные версии|исправленный конспект готов)(?:[^0-9a-zа-яё_]|$)"
+_INTERNAL = rf"(?iu)(?:{_ID})|(?:phase|scaffold|mastery|micromodule|prereq|subtype)|(?:buggy.?rule|stepwise|diagnos)|(?:фаза\s*\d)|(?:порядок закрытия пробелов)"
+_META_LINE = r"(?iu)^(?:в конспекте обнаружены ошибки|ниже приведены исправленные версии|исправленный конспект готов)(?:[^0-9a-zа-яё_]|$)"
 _LONG_LINE, _SHORT_REST = 120, 15
 
 
@@ -257,8 +257,8 @@ MISSING = "missing_practice_section"
 def section_body(c: Column | str, heading: str) -> Column:
     """The text under a second-level heading up to the next one; null if there is no such heading."""
     t = _c(c)
-    start = rf"(?ims)^##\s*{heading}[ \t\r\x{{0B}}\f\n]*$"
-    rest = F.regexp_extract(t, rf"(?ims)^##\s*{heading}\s*?$(.*)", 1)
+    start = rf"(?imsu)^##\s*{heading}[ \t\r\x{{0B}}\f\n]*$"
+    rest = F.regexp_extract(t, rf"(?imsu)^##\s*{heading}\s*?$(.*)", 1)
     return F.when(t.rlike(start), F.regexp_replace(rest, r"(?ms)^##\s+\S.*", ""))
 
 
@@ -291,7 +291,7 @@ def _example_codes(line: Column) -> Column:
 
 def task_mentions(c: Column, task: int) -> Column:
     """How often a text names a task by its number."""
-    return F.regexp_count(c, F.lit(rf"(?i)(?:задач[аи]|задани[ея])\s*:?\s*(?:№\s*|n\.?\s*)?{task}(?![0-9a-zа-яё_])|(?:№|#)\s*{task}(?![0-9a-zа-яё_])"))
+    return F.regexp_count(c, F.lit(rf"(?iu)(?:задач[аи]|задани[ея])\s*:?\s*(?:№\s*|n\.?\s*)?{task}(?![0-9a-zа-яё_])|(?:№|#)\s*{task}(?![0-9a-zа-яё_])"))
 
 
 def quality_violations(c: Column | str, practice: str = PRACTICE, example: str = EXAMPLE) -> Column:

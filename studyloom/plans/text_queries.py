@@ -250,9 +250,11 @@ def _tag_sql() -> str:
 
 
 _ID = X._ID
-_LINE_RULES = f"""array_to_string(list_filter(string_split({{0}}, chr(10)), lambda l: length({strip_sql("l")}) = 0 or not (regexp_matches({strip_sql("l")}, '{X._META_LINE}')
-  or (regexp_matches({strip_sql("l")}, '{X._INTERNAL}') and length({strip_sql("l")}) < 120
-      and length(regexp_replace(regexp_replace(regexp_replace({strip_sql("l")}, '{X._INTERNAL}', '', 'g'), '^[ .,:\\-–—•*#]+', ''), '[ .,:\\-–—•*#]+$', '')) < 15))), chr(10))"""
+#: The same patterns without the flag that RE2 doesn't need.
+_META, _INTERNAL = (p.replace("(?iu)", "(?i)") for p in (X._META_LINE, X._INTERNAL))
+_LINE_RULES = f"""array_to_string(list_filter(string_split({{0}}, chr(10)), lambda l: length({strip_sql("l")}) = 0 or not (regexp_matches({strip_sql("l")}, '{_META}')
+  or (regexp_matches({strip_sql("l")}, '{_INTERNAL}') and length({strip_sql("l")}) < 120
+      and length(regexp_replace(regexp_replace(regexp_replace({strip_sql("l")}, '{_INTERNAL}', '', 'g'), '^[ .,:\\-–—•*#]+', ''), '[ .,:\\-–—•*#]+$', '')) < 15))), chr(10))"""
 _CLEAN = rf"regexp_replace(regexp_replace(regexp_replace(text, '(?is)<think>.*?</think>', '', 'g'), '\({_ID}(?:,\s*{_ID})*\)', '', 'g'), '{_ID}', '', 'g')"
 
 
