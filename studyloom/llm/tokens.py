@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -186,7 +187,6 @@ def encode_texts(df: DataFrame, key: str, text: str, name: str = "byte_bpe_50k",
 
 def token_count(text: Column, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> Column:
     """Number of tokens of a text column; 0 for null."""
-    import pandas as pd
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:

@@ -307,7 +307,8 @@ def judged_texts(rows: DataFrame, source: str = "source", text: str = "text") ->
     # Only open endings need the counts of their five keys.
     open_ = placed.where("state = 1")
     names = ("w3", "c3", "w2", "c2", "w1")
-    wanted = open_.select(F.explode(F.array(*names, F.lit(0).cast("long"))).alias("key")).distinct()
+    every_word = rows.sparkSession.range(1).select(F.col("id").alias("key"))  # key 0 counts all words
+    wanted = open_.select(F.explode(F.array(*names)).alias("key")).unionByName(every_word).distinct()
     known = stage(grams.join(wanted, "key"), "grams")
     total = known.where("key = 0").select(F.col("n").alias("all_words"))
     long = open_.select("source", "h1", "h2", F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("key")) for c in names))).alias("k")).select("source", "h1", "h2", "k.name", "k.key")
