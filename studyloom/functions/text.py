@@ -8,11 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: One blank character, as a class that Java and RE2 read alike.
-BLANK = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: One blank character.
+BLANK = r"\p{IsWhite_Space}"
+#: The same for RE2.
+BLANK_RE2 = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: Entities that text from task pages holds, and what they stand for.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&minus;", "−"), ("&ndash;", "–"), ("&mdash;", "—"), ("&laquo;", "«"), ("&raquo;", "»"), ("&amp;", "&"))
-#: Names of functions in mathematical markup that are written with a backslash.
 _TAIL_MARKS = rf"(?:{BLANK}*[.;,:]){{2,}}{BLANK}*$"
 
 

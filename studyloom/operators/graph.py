@@ -7,11 +7,11 @@ They are a curated table; per-learner results are joins of learners' scores with
 from __future__ import annotations
 
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from studyloom.config import DEFAULT, Settings
+from studyloom.operators.linear_scan import scan_groups
 
 
 def edges(atoms: DataFrame) -> DataFrame:
@@ -89,12 +89,13 @@ def frontier(weakness: DataFrame, atoms: DataFrame, n: int = 5, task_number: int
 # --- order of learning ---
 
 
-def _prerequisites_first(group: pd.DataFrame) -> pd.DataFrame:
+def _prerequisites_first(rows: list[tuple]) -> list[tuple]:
     """Depth first, each atom after those of its prerequisites that are selected too."""
-    wanted = {a: [p for p in pre if p is not None] for a, pre in zip(group.atom, group.prerequisites)}
+    owner = rows[0][0]
+    wanted = {atom: [p for p in before if p is not None] for _, _, atom, before in rows}
     done: dict[str, int] = {}
     open_: set[str] = set()
-    for root in group.sort_values("place").atom:
+    for root in wanted:
         stack = [(root, iter(wanted[root]))] if root not in done else []
         open_.update(a for a, _ in stack)
         while stack:
@@ -106,17 +107,17 @@ def _prerequisites_first(group: pd.DataFrame) -> pd.DataFrame:
             else:
                 open_.add(nxt)
                 stack.append((nxt, iter(wanted[nxt])))
-    return pd.DataFrame({"owner": group.owner, "atom": group.atom, "place": group.atom.map(done).astype("int32")})
+    return [(owner, atom, place) for atom, place in done.items()]
 
 
 def learning_order(selected: DataFrame, atoms: DataFrame, owner: str) -> DataFrame:
     """``<owner>, atom, place`` of ``selected(<owner>, atom, place)``, prerequisites first.
 
-    The order depends on the visits before, so it is found in a grouped map; a group is one answer of a
-    search, a few dozen rows.
+    The order depends on the visits before, so it is a fold over each owner's rows: one answer of a
+    search, a few dozen.
     """
-    joined = selected.join(atoms.select(F.col("id").alias("atom"), "prerequisites"), "atom").select(F.col(owner).cast("string").alias("owner"), "atom", "place", "prerequisites")
-    return joined.groupBy("owner").applyInPandas(_prerequisites_first, "owner string, atom string, place int").withColumnRenamed("owner", owner)
+    joined = selected.join(atoms.select(F.col("id").alias("atom"), "prerequisites"), "atom").select(F.col(owner).cast("string").alias("owner"), "place", "atom", "prerequisites")
+    return scan_groups(joined, ["place"], "owner string, atom string, place int", _prerequisites_first).withColumnRenamed("owner", owner)
 
 
 # --- task labels ---

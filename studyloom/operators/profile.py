@@ -39,11 +39,13 @@ def attempt_log(submissions: DataFrame, job_requests: DataFrame) -> DataFrame:
     key = F.coalesce(uuid_key("submission_id"), message_identity(F.col("delivery_id")))
     first = submissions.select(key.alias("message"), F.col("submitted_at").isNull().alias("undated"), "submitted_at", "delivery_id").groupBy("message").agg(F.min(F.struct("undated", "submitted_at", "delivery_id")).alias("k")).select(F.col("k.delivery_id").alias("delivery_id"))
     kept = submissions.join(first, "delivery_id", "left_semi").join(users, "job_id")
-    columns = kept.withColumn("normal_", normalize("task_text")).select(
-        "student_id", "delivery_id", "task_id", "task_number", subtype_of(F.col("normal_"), F.col("task_number")).alias("subtype"), F.col("is_correct").alias("ok"),
-        F.coalesce("diagnostic_tags", F.array().cast("array<string>")).alias("tags"), F.col("submitted_at").alias("at"), "task_text", "student_answer", "correct_answer",
-    )
-    return number_rows(columns, "student_id", ["at", "delivery_id"])
+    columns = kept.select(
+        "student_id", "delivery_id", "task_id", "task_number", F.col("is_correct").alias("ok"), F.coalesce("diagnostic_tags", F.array().cast("array<string>")).alias("tags"),
+        F.col("submitted_at").alias("at"), "task_text", "student_answer", "correct_answer",
+    )
+    # The subtype is read after numbering, which looks at its input twice.
+    numbered = number_rows(columns, "student_id", ["at", "delivery_id"]).withColumn("normal_", normalize("task_text"))
+    return numbered.withColumn("subtype", subtype_of(F.col("normal_"), F.col("task_number"))).drop("normal_")
 
 
 def attempt_errors(attempts: DataFrame, settings: Settings = DEFAULT, weights: DataFrame | None = None) -> DataFrame:

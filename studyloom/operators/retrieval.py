@@ -10,13 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from studyloom.config import DEFAULT, Settings
 from studyloom.operators.graph import dependents, learning_order, mastery_level, prerequisites
+from studyloom.operators.linear_scan import scan_groups
 
 #: Rows of a block of queries and of a block of documents.
 QUERY_BLOCK, DOCUMENT_BLOCK = 256, 2048
@@ -235,29 +235,29 @@ def expand_once(scores: DataFrame, atoms: DataFrame, weakness: DataFrame, k: int
     return scores.select("student_id", "atom", "score").unionByName(raised).groupBy("student_id", "atom").agg(F.max("score").alias("score"))
 
 
-def _fold(group: pd.DataFrame) -> pd.DataFrame:
-    """Parents in order of their initial scores; each lends from the score it has by then."""
-    scores = dict(zip(group.loc[group.near.isna(), "atom"], group.loc[group.near.isna(), "score"]))
-    lent = group[group.near.notna()].sort_values(["parent_place", "kind", "hops", "ord"])
-    for parent, near, bonus in zip(lent.atom, lent.near, lent.score):
-        raised = scores[parent] + bonus
-        if raised > scores.get(near, -np.inf):
+def _fold(rows: list[tuple]) -> list[tuple]:
+    """Nodes first, then edges in order of their parents' initial scores; a parent lends from the score it has by then."""
+    scores: dict[str, float] = {}
+    for _, place, _, _, _, atom, near, score in rows:
+        if place is None:
+            scores[atom] = score
+        elif (raised := scores[atom] + score) > scores.get(near, float("-inf")):
             scores[near] = raised
-    return pd.DataFrame({"student_id": pd.Series([group.student_id.iloc[0]] * len(scores), dtype=object), "atom": pd.Series(list(scores), dtype=object), "score": list(scores.values())})
+    return [(rows[0][0], atom, score) for atom, score in scores.items()]
 
 
 def expand(scores: DataFrame, atoms: DataFrame, weakness: DataFrame, k: int = 12, task_number: int | None = None, subtype: str | None = None, settings: Settings = DEFAULT) -> DataFrame:
     """``student_id, atom, score``: graph expansion in the order of parents, as raised scores are lent on.
 
-    The fold is a grouped map over one learner's candidates: at most a row for each atom and edge of the curated graph.
+    A fold over one learner's candidates: at most a row for each atom and edge of the curated graph.
     """
     parents = best_atoms(scores, atoms, max(8, k)).select("student_id", F.col("atom").alias("parent"), F.col("place").alias("parent_place"))
     near = parents.join(_neighbours(atoms, settings, task_number, subtype), "parent").join(weakness.select("student_id", F.col("atom").alias("near"), "weakness"), ["student_id", "near"], "left")
     bonus = F.col("fixed") + F.col("per_weakness") * F.coalesce("weakness", F.lit(0.0))
-    edges_ = near.select("student_id", F.col("parent").alias("atom"), "near", bonus.alias("score"), "parent_place", "place.kind", "place.hops", "place.ord")
-    none = F.lit(None).cast("int")
-    nodes = scores.select("student_id", "atom", F.lit(None).cast("string").alias("near"), "score", none.alias("parent_place"), none.alias("kind"), none.alias("hops"), none.alias("ord"))
-    return nodes.unionByName(edges_).groupBy("student_id").applyInPandas(_fold, "student_id string, atom string, score double")
+    edges_ = near.select("student_id", "parent_place", "place.kind", "place.hops", "place.ord", F.col("parent").alias("atom"), "near", bonus.alias("score"))
+    none = [F.lit(None).cast("int").alias(c) for c in ("parent_place", "kind", "hops", "ord")]
+    nodes = scores.select("student_id", *none, "atom", F.lit(None).cast("string").alias("near"), "score")
+    return scan_groups(nodes.unionByName(edges_), ["parent_place", "kind", "hops", "ord"], "student_id string, atom string, score double", _fold)
 
 
 def subtype_similarity(a: Column, b: Column) -> Column:
@@ -267,36 +267,35 @@ def subtype_similarity(a: Column, b: Column) -> Column:
 
 
 def _diverse(k: int, weight: float):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("place")
-        names, scores = list(group.atom), group.score.to_numpy(float)
-        if len(names) <= k:
-            chosen = list(range(len(names)))
-        else:
-            sets = [frozenset(s) for s in group.subtypes]
-            spread = scores.max() - scores.min()
-            relevance = (scores - scores.min()) / (spread if spread > 0 else 1.0)
-            nearest = np.zeros(len(names))
-            left, chosen = np.ones(len(names), bool), []
+    def fold(rows: list[tuple]) -> list[tuple]:
+        owner, scores = rows[0][0], [r[3] for r in rows]
+        chosen = list(range(len(rows)))
+        if len(rows) > k:
+            bit: dict[str, int] = {}
+            sets = [sum(1 << bit.setdefault(s, len(bit)) for s in set(r[4] or ())) for r in rows]
+            low, high = min(scores), max(scores)
+            relevance = [(s - low) / ((high - low) or 1.0) for s in scores]
+            nearest, left, chosen = [0.0] * len(rows), list(range(len(rows))), []
             while len(chosen) < k:
-                value = np.where(left, np.round(weight * relevance - (1 - weight) * nearest, 12), -np.inf)
-                best = int(np.argmax(value))  # the first of equal ones
+                best = max(left, key=lambda i: (round(weight * relevance[i] - (1 - weight) * nearest[i], 12), -i))  # the first of equal ones
                 chosen.append(best)
-                left[best] = False
-                common = np.array([len(s & sets[best]) / len(s | sets[best]) if s or sets[best] else 0.0 for s in sets])
-                nearest = np.maximum(nearest, common)
-        return pd.DataFrame({"student_id": pd.Series([group.student_id.iloc[0]] * len(chosen), dtype=object), "atom": pd.Series([names[i] for i in chosen], dtype=object), "place": np.arange(1, len(chosen) + 1, dtype=np.int32), "score": scores[chosen]})
+                left.remove(best)
+                for i in left:
+                    either = (sets[i] | sets[best]).bit_count()
+                    if either:
+                        nearest[i] = max(nearest[i], (sets[i] & sets[best]).bit_count() / either)
+        return [(owner, rows[i][2], n, scores[i]) for n, i in enumerate(chosen, 1)]
 
-    return run
+    return fold
 
 
 def diverse(scores: DataFrame, atoms: DataFrame, k: int = 12, settings: Settings = DEFAULT) -> DataFrame:
     """``student_id, atom, place, score``: ``k`` of the ``2k`` best atoms, weighing relevance against likeness of subtypes to those already chosen.
 
-    A choice depends on those before, so it is a grouped map over at most ``2k`` rows a learner.
+    A choice depends on those before, so it is a fold over at most ``2k`` rows a learner.
     """
-    candidates = best_atoms(scores, atoms, 2 * k).join(atoms.select(F.col("id").alias("atom"), "subtypes"), "atom")
-    return candidates.groupBy("student_id").applyInPandas(_diverse(k, settings.mmr_lambda), "student_id string, atom string, place int, score double")
+    candidates = best_atoms(scores, atoms, 2 * k).join(atoms.select(F.col("id").alias("atom"), "subtypes"), "atom").select("student_id", "place", "atom", "score", "subtypes")
+    return scan_groups(candidates, ["place"], "student_id string, atom string, place int, score double", _diverse(k, settings.mmr_lambda))
 
 
 def retrieve(base: DataFrame, atoms: DataFrame, errors: DataFrame, skills: DataFrame, weakness: DataFrame, k: int = 12, settings: Settings = DEFAULT) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from studyloom.config import DEFAULT
 from studyloom.functions.cascade import SUBTYPE_LABELS, subtype_sql
-from studyloom.functions.text import BLANK
+from studyloom.functions.text import BLANK_RE2 as BLANK
 from studyloom.operators import profile as P
 from studyloom.operators import graph as G
 from studyloom.plans.data_queries import _KEY, _WORDS

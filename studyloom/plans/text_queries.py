@@ -218,6 +218,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+_TAIL = X._TAIL_MARKS.replace(X.BLANK, BLANK)
+
+
 def _replace_all(text: str) -> str:
     for entity, character in X.ENTITIES:
         character = character.replace("'", "''")
@@ -227,7 +230,7 @@ def _replace_all(text: str) -> str:
 
 def normalize_task_sql(text: str) -> str:
     t = squeeze_sql(f"translate({_replace_all(f'coalesce({text}, {chr(39) * 2})')}, chr(8202) || chr(8201) || chr(160) || '−–—', '   ---')")
-    for pattern, new in ((X._TAIL_MARKS, ""), (rf"{BLANK}*;{BLANK}*;{BLANK}*$", ""), (rf"{BLANK}+\)", ")"), (rf"\({BLANK}+", "("), (rf"{BLANK}+([,.:;!?])", r"\1")):
+    for pattern, new in ((_TAIL, ""), (rf"{BLANK}*;{BLANK}*;{BLANK}*$", ""), (rf"{BLANK}+\)", ")"), (rf"\({BLANK}+", "("), (rf"{BLANK}+([,.:;!?])", r"\1")):
         t = f"regexp_replace({t}, '{pattern}', '{new}', 'g')"
     return strip_sql(t)
 
@@ -314,7 +317,7 @@ ORACLES: dict[str, str] = {
     "task_filter": f"select task_id, {strip_sql('answer')} answer from task_bank where task_number = 10 and length(task_id) > 0 and length({strip_sql('answer')}) > 0",
     "query_tokens": f"with t as (select doc_id, {_TOKENS.format('text')} w from documents where text is not null) select doc_id, len({_DISTINCT.format('w')}) n_tokens, array_to_string(({_DISTINCT.format('w')})[1:5], ' ') first from t",
     "token_overlap": f"with t as (select rec_id, {_TOKENS.format('task_text')} w, lower(coalesce(problem_katex, '') || ' ' || coalesce(solution, '')) h from profile_events where task_text is not null) select rec_id, len(list_filter({_DISTINCT.format('w')}, lambda x: contains(h, x))) n_common from t",
-    "html_to_text": f"select rec_id, md5(regexp_replace({squeeze_sql(_replace_all(_BARE))}, '{X._TAIL_MARKS}', '')) digest from profile_events",
+    "html_to_text": f"select rec_id, md5(regexp_replace({squeeze_sql(_replace_all(_BARE))}, '{_TAIL}', '')) digest from profile_events",
     "sanitize_output": f"""with t as (select doc_id, text, {_LINE_RULES.replace("{0}", _CLEAN)} o from documents where text is not null)
       select doc_id, md5(case when length({strip_sql("text")}) = 0 then text when length({strip_sql("o")}) > 0 then o else {strip_sql("text")} end) digest from t""",
     "quality_scan": f"with {_SCAN} select doc_id, array_to_string(codes, ' | ') codes from codes",
