@@ -127,6 +127,13 @@ def string_list(c: Column | str) -> Column:
     return F.filter(F.transform(items, lambda x: strip(x)), lambda x: F.length(x) > 0)
 
 
+def argument_map(c: Column | str) -> Column:
+    """Named arguments of a JSON object, blanks in names as underscores; an empty map for anything else."""
+    empty = F.create_map().cast("map<string,string>")
+    parsed = F.coalesce(F.from_json(_c(c), "map<string,string>"), empty)
+    return F.transform_keys(parsed, lambda k, v: F.regexp_replace(strip(k), rf"{BLANK}+", "_"))
+
+
 def lines_of(c: Column | str) -> Column:
     return F.split(_c(c), "\r\n|\n|\r")
 

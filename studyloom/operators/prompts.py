@@ -142,3 +142,48 @@ def similar_solved(queries: DataFrame, own: DataFrame, bank: DataFrame, n: int =
     one = clipped.withColumn("nth", F.row_number().over(Window.partitionBy("query_id", "problem").orderBy(*order))).where("nth = 1")
     placed = one.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("place") <= n)
     return placed.select("query_id", "place", "problem", F.when(F.col("origin") == 0, "student_recent").otherwise("task_bank").alias("source"), "match")
+
+
+# Lead-ins of the context that a note is written from.
+_ERRORS_LEAD, _NO_ERRORS = "Ученик чаще всего допускает такие ошибки:", "У ученика пока нет статистики ошибок — дай общий конспект по теме."
+_EXAMPLES_LEAD, _TOPICS_LEAD = "Конкретные примеры:", "Следующие темы для изучения (слабо освоены, но пререквизиты готовы):"
+_MISTAKES_LEAD, _MATERIAL_LEAD, _NO_MATERIAL = "Известные типичные заблуждения:", "Справочный материал:", "Нет дополнительного справочного материала."
+_ANY_ERROR = "типичная ошибка"
+
+
+def _collected(df: DataFrame, name: str, text: Column, most: int) -> DataFrame:
+    """``student_id, <name>``: a learner's texts in order of ``place``, at most a few."""
+    kept = df.where(F.col("place") <= most)
+    return kept.groupBy("student_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", text.alias("t")))), lambda x: x["t"]).alias(name))
+
+
+def context_bundle(levels: DataFrame, top: DataFrame, mistakes: DataFrame, topics: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """One row a learner of ``levels(student_id, detail)`` with all that a note is written from.
+
+    ``top(student_id, place, tag)``, ``mistakes(student_id, place, line)``, ``topics(student_id, place, title)``,
+    ``retrieved(student_id, place, atom, title, text)``; misconceptions (ids with ``mc_``) come before other material.
+    Result: ``student_id, detail, errors_block, frontier_block, context_section, n_err_items, top_err``.
+    """
+    is_mistake = F.col("atom").startswith("mc_")
+    block = F.concat(F.col("place").cast("string"), F.lit(". "), F.col("title"), F.lit("\n"), F.col("text"))
+    parts = [
+        _collected(top, "e", label("tag", {}), 5),
+        _collected(mistakes, "m", F.concat(F.lit("  - "), F.col("line")), 2),
+        _collected(topics, "f", F.concat(F.lit("  - "), F.col("title")), 3),
+        _collected(retrieved.where(is_mistake), "w", block, 100),
+        _collected(retrieved.where(~is_mistake), "c", block, 100),
+    ]
+    row = levels.select("student_id", "detail")
+    for part in parts:
+        row = row.join(part, "student_id", "left")
+    errors = F.concat_ws("\n", F.lit(_ERRORS_LEAD), F.array_join(F.transform("e", lambda x: F.concat(F.lit("  - "), x)), "\n"))
+    examples = F.when(F.col("m").isNotNull(), F.concat(F.lit("\n\n" + _EXAMPLES_LEAD + "\n"), F.array_join("m", "\n"))).otherwise("")
+    known = F.when(F.col("w").isNotNull(), F.concat(F.lit(_MISTAKES_LEAD + "\n"), F.array_join("w", "\n\n")))
+    material = F.when(F.col("c").isNotNull(), F.concat(F.lit(_MATERIAL_LEAD + "\n"), F.array_join("c", "\n\n"))).otherwise(_NO_MATERIAL)
+    return row.select(
+        "student_id", "detail",
+        F.when(F.col("e").isNotNull(), F.concat(errors, examples)).otherwise(_NO_ERRORS).alias("errors_block"),
+        F.when(F.col("f").isNotNull(), F.concat(F.lit(_TOPICS_LEAD + "\n"), F.array_join("f", "\n"))).otherwise("").alias("frontier_block"),
+        F.concat_ws("\n\n---\n\n", known, material).alias("context_section"),
+        F.coalesce(F.size("e"), F.lit(2)).alias("n_err_items"), F.coalesce(F.get("e", F.lit(0)), F.lit(_ANY_ERROR)).alias("top_err"),
+    )

@@ -148,6 +148,12 @@ def late_topk(queries: DataFrame, documents: DataFrame, id_: str, vectors: str,
 # --- fusion ---
 
 
+def fetch_limit(k: int, settings: Settings = DEFAULT) -> int:
+    """How many documents each leg hands to fusion for ``k`` results."""
+    return max(settings.fetch_least, settings.fetch_factor * k)
+
+
+
 def fuse_legs(legs: list[tuple[DataFrame, float]], k: int, settings: Settings = DEFAULT) -> DataFrame:
     """``query_id, doc_id, score, place``: weighted reciprocal ranks of several legs, the ``k`` best, equal scores by id."""
     ranked = None

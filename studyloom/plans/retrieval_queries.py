@@ -77,7 +77,8 @@ def sparse_topk_idf(spark, folder):
 
 
 def rrf_legs(spark, folder):
-    legs = [(_dense(spark, folder, 48), DEFAULT.dense_weight), (_late(spark, folder, 48), DEFAULT.late_weight)]
+    n = V.fetch_limit(K)
+    legs = [(_dense(spark, folder, n), DEFAULT.dense_weight), (_late(spark, folder, n), DEFAULT.late_weight)]
     return V.fuse_legs(legs, K).select("query_id", "doc_id", "place", F.round("score", 6).alias("score"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from studyloom.config import TOOL_TASKS
@@ -197,6 +197,42 @@ def callback_snapshot(spark, folder):
     return submissions_hash(spark, folder).join(tags, "student_id", "left").select("student_id", F.coalesce("top_error_tags", F.lit("")).alias("top_error_tags"), "n", "digest")
 
 
+def argument_names(spark, folder):
+    """Arguments of calls, with blanks in their names."""
+    t = table(spark, folder, "task_bank")
+    raw = F.when(F.col("task_number") == 13, "no json").otherwise(F.to_json(F.create_map(F.lit("task number"), F.col("task_number").cast("string"), F.lit(" error tags "), F.coalesce("subtype", F.lit("-")))))
+    args = X.argument_map("raw")
+    return t.select("task_id", raw.alias("raw")).select("task_id", args["task_number"].alias("task"), args["error_tags"].alias("tags"), F.size(args).cast("long").alias("n"))
+
+
+def _diagnosed(spark, folder):
+    """A model's diagnoses of error events: JSON, some in fences, some unreadable, some with tags that nobody knows."""
+    t = table(spark, folder, "profile_events").where("tag is not null")
+    body = F.to_json(F.struct(F.array(F.struct(F.lower(F.trim("tag")).alias("tag"), F.lit(" причина ").alias("reason")), F.struct(F.lit("nobody_knows").alias("tag"), F.lit("x").alias("reason")), F.struct(F.lit("unknown").alias("tag"), F.coalesce("subtype", F.lit("")).alias("reason"))).alias("mistakes")))
+    kind = F.col("rec_id") % 4
+    raw = F.when(kind == 0, "не JSON").when(kind == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
+    known = t.select(F.lower(F.trim("tag")).alias("tag")).distinct()
+    return R.diagnoses(t.select(F.col("rec_id").alias("submission_id"), raw.alias("raw")), known)
+
+
+def diagnosis_parse(spark, folder):
+    return _diagnosed(spark, folder)
+
+
+def rationale_join(spark, folder):
+    return R.rationale(_diagnosed(spark, folder))
+
+
+def context_bundle(spark, folder):
+    """All that a note for a learner is written from."""
+    atoms, errors = table(spark, folder, "atoms"), Q._errors(spark, folder)
+    scores = P.decayed_scores(errors)
+    titled = atoms.select(F.col("id").alias("atom"), "title", "text")
+    topics = Q.G.frontier(Q.G.atom_weakness(scores, atoms), atoms, 6).join(titled, "atom").select("student_id", "place", "title")
+    weak = Q.G.atom_weakness(scores, atoms).join(titled, "atom").withColumn("place", F.row_number().over(Window.partitionBy("student_id").orderBy(F.desc(F.round("weakness", 9)), "atom"))).where("place <= 4")
+    return R.context_bundle(P.accuracy_level(Q._counts(spark, folder)), P.top_errors(scores, 8, atoms), P.concrete_mistakes(errors), topics, weak.select("student_id", "place", "atom", "title", "text"))
+
+
 def similar_tasks(spark, folder):
     """For each learner with errors, solved tasks like the newest wrong one."""
     errors = Q._errors(spark, folder)
@@ -213,7 +249,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         text_normalize, task_text_normalize, text_clip, answer_equality, subtype_cascade, subtype_by_text, tag_inference, subtype_labels, tag_labels, task_filter, query_tokens, token_overlap, html_to_text,
         task_pages, sanitize_output, quality_scan, violation_hints, json_sections, sections_markdown, section_assembly, safe_ids, argument_coercion, student_order, script_escape, content_hash,
-        submissions_hash, tool_queries, judge_prompt_block, query_set, cold_start, task_pick, personalization_block, callback_snapshot, similar_tasks,
+        submissions_hash, tool_queries, judge_prompt_block, query_set, cold_start, task_pick, personalization_block, callback_snapshot, similar_tasks, argument_names, diagnosis_parse, rationale_join, context_bundle,
     )
 }
 
@@ -304,6 +340,10 @@ _PROMPT = f"coalesce(nullif({strip_sql('problem_katex')}, ''), question)"
 _BARE = "regexp_replace(regexp_replace(task_text, '(?is)<(script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g')"
 _CONTEXT = Q.ORACLES["profile_recent_wrong_context"]
 _TOOL_TEXT = "case when length(solution) > 0 then solution else task_text end"
+_DIAGNOSED = """with t as (select rec_id, lower(trim(tag)) tag, coalesce(subtype, '') s from profile_events where tag is not null and rec_id % 4 <> 0)
+  select rec_id submission_id, 1 place, tag, 'причина' reason, 1.15::double weight from t union all
+  select rec_id, 3, 'unknown', s, 1.15 from t where length(s) > 0 and 'unknown' in (select tag from t)"""
+
 ORACLES: dict[str, str] = {
     "text_normalize": f"select doc_id, md5({norm_sql('text')}) digest, length({norm_sql('text')}) n from documents",
     "task_text_normalize": f"select rec_id, md5({normalize_task_sql('task_text')}) digest from profile_events",
@@ -351,4 +391,17 @@ ORACLES: dict[str, str] = {
     "callback_snapshot": f"""with t as (select student_id, string_agg(tag || '=' || round(round(score, 9)::decimal(18, 9), 3)::decimal(18, 3), ';' order by place) top_error_tags from (with {Q.SCORES}, {Q.TOP.format(8)} select * from top) group by 1),
       {Q.ATTEMPTS}, h as (select student_id, count(*) n, 'sha256:' || left(sha256(string_agg(delivery_id::varchar, '' order by delivery_id::varchar)), 32) digest from attempts group by 1)
       select student_id, coalesce(top_error_tags, '') top_error_tags, n, digest from h left join t using (student_id)""",
+    "argument_names": "select task_id, case when task_number <> 13 then task_number::varchar end task, case when task_number <> 13 then coalesce(subtype, '-') end tags, case when task_number = 13 then 0 else 2 end n from task_bank",
+    "diagnosis_parse": _DIAGNOSED,
+    "rationale_join": f"select submission_id, string_agg(tag, ',' order by place) tags, string_agg(reason, ' - ' order by place) rationale from ({_DIAGNOSED}) group by 1",
+    "context_bundle": f"""with {Q.SCORES}, {Q.TOP.format(8)}, {Q.COUNTS}, b as (select student_id, sum(attempts)::bigint a, sum(wrong)::bigint w from counts group by 1),
+      e as (select student_id, list(replace(tag, '_', ' ') order by place) e from top where place <= 5 group by 1),
+      m as (select student_id, string_agg('  - ' || line, chr(10) order by place) m from ({Q.ORACLES["profile_concrete_mistakes"]}) group by 1),
+      f as (select student_id, string_agg('  - ' || title, chr(10) order by place) f from ({Q.ORACLES["frontier_topics"]}) x join atoms on id = atom where place <= 3 group by 1),
+      r as (select student_id, row_number() over (partition by student_id order by round(weakness, 9) desc, atom) place, title, text from (with {Q.WEAK} select * from weak) x join atoms on id = atom qualify place <= 4),
+      c as (select student_id, string_agg(place || '. ' || title || chr(10) || text, chr(10) || chr(10) order by place) c from r group by 1)
+      select student_id, case when a = 0 or (a - w) / a < 0.3 then 'подробный' when (a - w) / a < 0.6 then 'средний' else 'краткий' end detail,
+        case when e is null then '{R._NO_ERRORS}' else '{R._ERRORS_LEAD}' || chr(10) || array_to_string(list_transform(e, lambda x: '  - ' || x), chr(10)) || coalesce(chr(10) || chr(10) || '{R._EXAMPLES_LEAD}' || chr(10) || m, '') end errors_block,
+        coalesce('{R._TOPICS_LEAD}' || chr(10) || f, '') frontier_block, coalesce('{R._MATERIAL_LEAD}' || chr(10) || c, '{R._NO_MATERIAL}') context_section, coalesce(len(e), 2)::int n_err_items, coalesce(e[1], '{R._ANY_ERROR}') top_err
+      from b left join e using (student_id) left join m using (student_id) left join f using (student_id) left join c using (student_id)""",
 }
