@@ -6,18 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Notations of a UUID: plain, 32 digits, braces or parentheses, urn:uuid: and uuid: prefixes, any case.
+_BLANKS = r"\p{IsWhite_Space}*"
+#: Notations of a UUID after a mark: plain, 32 digits, braces or parentheses, urn:uuid: and uuid: prefixes, any case, outer blanks; not all zero.
 UUID_PATTERN = (
-    r"(?U)^\s*(?i:urn:)?(?i:uuid:)?[{(]?([0-9a-fA-F]{8})-?([0-9a-fA-F]{4})-?([0-9a-fA-F]{4})-?([0-9a-fA-F]{4})-?([0-9a-fA-F]{12})[)}]?\s*$"
+    rf"^#{_BLANKS}(?i:urn:)?(?i:uuid:)?[{{(]?(?!0{{8}}-?0{{4}}-?0{{4}}-?0{{4}}-?0{{12}}[^0-9a-fA-F]*$)"
+    rf"([0-9a-fA-F]{{8}})-?([0-9a-fA-F]{{4}})-?([0-9a-fA-F]{{4}})-?([0-9a-fA-F]{{4}})-?([0-9a-fA-F]{{12}})[)}}]?{_BLANKS}$"
 )
-#: ISO-8601 date and time; group 1 is the offset.
-ISO_PATTERN = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:[.,]\d{1,9})?)?\s?(Z|z|[+-]\d{2}(?::?\d{2})?)?$"
-#: Longest spelling that can still be an identifier or an instant; longer texts skip the pattern.
-MAX_SPELLING = 200
+#: ISO-8601 date and time after a mark: date, time of day, offset.
+ISO_PATTERN = rf"^#{_BLANKS}(\d{{4}}-\d{{2}}-\d{{2}})[T ](\d{{2}}:\d{{2}}(?::\d{{2}}(?:[.,]\d{{1,9}})?)?) ?(Z|z|[+-]\d{{2}}(?::?\d{{2}})?)?{_BLANKS}$"
 
 
-def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+def _marked(c: Column | str) -> Column:
+    """The text after a mark; what a pattern doesn't meet keeps the mark, and so can't be read as a number or time."""
+    return F.concat(F.lit("#"), F.col(c) if isinstance(c, str) else c)
 
 
 def uuid_key(c: Column | str) -> Column:
@@ -25,25 +26,17 @@ def uuid_key(c: Column | str) -> Column:
 
     Null for null, for text that is no UUID and for the all-zero UUID.
     """
-    c = F.col(c) if isinstance(c, str) else c
-    digits = F.when(F.length(c) <= MAX_SPELLING, F.regexp_replace(c, UUID_PATTERN, "$1$2$3$4$5"))
-    valid = (F.length(digits) == 32) & digits.rlike("^[0-9a-fA-F]{32}$") & ~digits.rlike("^0{32}$")
-    return F.when(valid, F.unhex(digits))
+    return F.unhex(F.regexp_replace(_marked(c), UUID_PATTERN, "$1$2$3$4$5"))
 
 
 def iso_micros(c: Column | str) -> Column:
     """Microseconds since 1970 UTC of an ISO-8601 text; without an offset it is UTC.
 
-    Null for null and for text that can't be read as a date with a time of day.
+    Null for null and for text that can't be read as a date with a time of day. The text is looked at once.
     """
-    c = F.col(c) if isinstance(c, str) else c
-    text = F.when(F.length(c) <= MAX_SPELLING, _strip(c))
-    readable = text.rlike(ISO_PATTERN)
-    bare = text.rlike(r"^[^T ]*[T ][0-9:.,]*$")
-    short = text.rlike(r"[+-]\d{2}$") & (F.length(text) > 11) & ~bare
-    dotted = F.translate(text, ",z", ".Z")
-    zoned = F.when(bare, F.concat(dotted, F.lit("Z"))).when(short, F.concat(dotted, F.lit(":00"))).otherwise(dotted)
-    return F.unix_micros(F.try_to_timestamp(F.when(readable, zoned)))
+    parts = F.regexp_replace(_marked(c), ISO_PATTERN, "$1T$2|$3")
+    hours = F.regexp_replace(parts, r"\|([+-]\d{2})$", "|$1:00")
+    return F.unix_micros(F.try_to_timestamp(F.translate(F.regexp_replace(hours, r"\|$", "Z"), ",z|", ".Z")))
 
 
 def micros_of(df: DataFrame, name: str) -> Column:
