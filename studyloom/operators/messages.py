@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from studyloom.functions.keys import micros_of, uuid_key
-from studyloom.staging import new_path
+from studyloom.staging import drop_later, new_path
 
 _NEVER = 2**63 - 1
 
@@ -34,6 +34,7 @@ class MessageStore:
     def _write(self, df: DataFrame, table: str, mode: str) -> None:
         writer = df.write.format("parquet").bucketBy(self.buckets, "key").sortBy("key")
         writer.option("path", f"{self.path}/{table}").mode(mode).saveAsTable(table)
+        drop_later(self.spark, table)
 
     @property
     def _runs(self) -> str:

@@ -71,20 +71,32 @@ def pick_task(tasks: DataFrame, seed: int) -> DataFrame:
     return picked.select("task_number", "task_id")
 
 
-def content_digest(rows: DataFrame, id_: str, text: str, group: str) -> DataFrame:
-    """``<group>, digest``: 16 hex digits over all ids and texts of a group in order of id; a stored index is fresh while it stays the same.
+#: Hex digits of an id's hash that name its block in a digest.
+BLOCK_DIGITS = 3
+
+
+def _digest(rows: DataFrame, group: str) -> DataFrame:
+    """``<group>, n, digest`` of ``rows(<group>, i, h)``: SHA-256 over the blocks' digests, each over its ``h`` in order of ``i``.
 
-    For large groups each row is hashed first, so that only digests are brought together.
+    A group of any size is spread over its blocks (by a hash of the id) first, so that no task holds all of it.
     """
+    block = F.substring(F.sha2(F.coalesce("i", F.lit("")), 256), 1, BLOCK_DIGITS)
+    own = rows.groupBy(group, block.alias("b")).agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("x"), F.count("*").alias("n"))
+    blocks = own.select(group, "b", "n", F.sha2(F.array_join(F.transform("x", lambda x: x["h"]), ""), 256).alias("d"))
+    every = blocks.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("b", "d"))).alias("x"), F.sum("n").alias("n"))  # at most 16^3 blocks
+    return every.select(group, "n", F.sha2(F.array_join(F.transform("x", lambda x: x["d"]), ""), 256).alias("digest"))
+
+
+def content_digest(rows: DataFrame, id_: str, text: str, group: str) -> DataFrame:
+    """``<group>, digest``: 16 hex digits over all ids and texts of a group; a stored index is fresh while it stays the same."""
     line = F.sha2(F.concat(F.coalesce(F.col(id_), F.lit("")), F.lit("|"), F.coalesce(F.col(text), F.lit("")), F.lit("\n")), 256)
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(id_).alias("i"), line.alias("h"))))
-    return rows.groupBy(group).agg(F.substring(F.sha2(F.array_join(F.transform(ordered, lambda x: x["h"]), ""), 256), 1, 16).alias("digest"))
+    return _digest(rows.select(group, F.col(id_).alias("i"), line.alias("h")), group).select(group, F.substring("digest", 1, 16).alias("digest"))
 
 
 def ids_digest(rows: DataFrame, group: str, id_: str) -> DataFrame:
-    """``<group>, n, digest``: 32 hex digits over a group's ids in order, as a mark of what a result was made from."""
-    own = rows.groupBy(group).agg(F.array_sort(F.collect_list(id_)).alias("ids"))
-    return own.select(group, F.size("ids").cast("long").alias("n"), F.concat(F.lit("sha256:"), F.substring(F.sha2(F.array_join("ids", ""), 256), 1, 32)).alias("digest"))
+    """``<group>, n, digest``: 32 hex digits over a group's ids, as a mark of what a result was made from."""
+    found = _digest(rows.select(group, F.col(id_).alias("i"), F.col(id_).alias("h")), group)
+    return found.select(group, "n", F.concat(F.lit("sha256:"), F.substring("digest", 1, 32)).alias("digest"))
 
 
 def diagnoses(answers: DataFrame, known: DataFrame, weight: float = 1.15, most: int = 3) -> DataFrame:

@@ -15,6 +15,7 @@ from studyloom.config import TOOL_TASKS
 from studyloom.functions.cascade import SUBTYPE_LABELS
 from studyloom.functions.text import clip, label, query_tokens
 from studyloom.operators import graph, profile, prompts, retrieval
+from studyloom.operators.curated import beside
 
 
 class Context(NamedTuple):
@@ -84,11 +85,11 @@ def get_misconception_hints(ctx: Context, error_tags: list[str] | None = None, t
     own = ctx.misconceptions if _task(task_number) is None else ctx.misconceptions.where(F.col("task_number") == _task(task_number))
     learners = ctx.counts.select("student_id").distinct()
     if error_tags:
-        picked = learners.crossJoin(F.broadcast(own.where(F.col("error_tag").isin(list(error_tags)))))  # a curated table
+        picked = beside(learners, own.where(F.col("error_tag").isin(list(error_tags))))
     else:
         top = _top(ctx, 8).select("student_id", F.col("tag").alias("error_tag"))
         bare = learners.join(top.select("student_id").distinct(), "student_id", "left_anti")
-        picked = top.join(own, "error_tag").select("student_id", *own.columns).unionByName(bare.crossJoin(F.broadcast(own)))
+        picked = top.join(own, "error_tag").select("student_id", *own.columns).unionByName(beside(bare, own))
     place = F.row_number().over(Window.partitionBy("student_id").orderBy("ord"))
     return picked.withColumn("place", place).where(F.col("place") <= _count(limit, 4, 6)).select("student_id", "place", "title", F.col("text").alias("hint"), label("error_tag", {}).alias("error"), "task_number")
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from studyloom.config import DEFAULT
 from studyloom.functions.cascade import SUBTYPE_LABELS, subtype_sql
 from studyloom.functions.text import BLANK_RE2 as BLANK
-from studyloom.operators import profile as P
 from studyloom.operators import graph as G
+from studyloom.operators import profile as P
+from studyloom.operators.curated import beside
 from studyloom.plans.data_queries import _KEY, _WORDS
 from studyloom.plans.tables import table
 
@@ -186,7 +187,7 @@ def atom_weakness(spark, folder):
 def mastery_level(spark, folder):
     atoms = table(spark, folder, "atoms")
     learners = table(spark, folder, "profiles").select("student_id").distinct()
-    pairs = learners.join(atoms.select(F.col("id").alias("atom")).where("task_number = 10"))  # every learner has a level for each atom of the task
+    pairs = beside(learners, atoms.where("task_number = 10").select(F.col("id").alias("atom")))
     levels = pairs.join(_weakness(spark, folder), ["student_id", "atom"], "left")
     return levels.select("student_id", "atom", F.round(G.mastery_level(F.col("weakness")), 6).alias("mastery"))
 

@@ -340,6 +340,8 @@ _PROMPT = f"coalesce(nullif({strip_sql('problem_katex')}, ''), question)"
 _BARE = "regexp_replace(regexp_replace(task_text, '(?is)<(script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g')"
 _CONTEXT = Q.ORACLES["profile_recent_wrong_context"]
 _TOOL_TEXT = "case when length(solution) > 0 then solution else task_text end"
+_BLOCKS = """blk as (select g, left(sha256(i), 3) b, sha256(string_agg(h, '' order by i)) d, count(*) n from l group by 1, 2),
+  dig as (select g, sum(n)::bigint n, sha256(string_agg(d, '' order by b)) digest from blk group by 1)"""
 _DIAGNOSED = """with t as (select rec_id, lower(trim(tag)) tag, coalesce(subtype, '') s from profile_events where tag is not null and rec_id % 4 <> 0)
   select rec_id submission_id, 1 place, tag, 'причина' reason, 1.15::double weight from t union all
   select rec_id, 3, 'unknown', s, 1.15 from t where length(s) > 0 and 'unknown' in (select tag from t)"""
@@ -372,8 +374,8 @@ ORACLES: dict[str, str] = {
       coalesce(nullif({strip_sql("correct_answer")}, 'null'), '') listed from submissions""",
     "student_order": r"select distinct student_id, case when regexp_matches(student_id, '_u\d+$') then regexp_extract(student_id, '^(.*)_u\d+$', 1) else student_id end prefix, case when regexp_matches(student_id, '_u\d+$') then regexp_extract(student_id, '_u(\d+)$', 1)::bigint else 0 end number from profiles",
     "script_escape": r"""select id, '{"t":"' || chr(92) || 'u003cb' || chr(92) || 'u003e' || chr(92) || 'u0026' || title || '"}' json from atoms""",
-    "content_hash": "with l as (select task_number, id, sha256(id || '|' || coalesce(text, '') || chr(10)) h from atoms) select task_number, left(sha256(string_agg(h, '' order by id)), 16) digest from l group by 1",
-    "submissions_hash": f"with {Q.ATTEMPTS} select student_id, count(*) n, 'sha256:' || left(sha256(string_agg(delivery_id::varchar, '' order by delivery_id::varchar)), 32) digest from attempts group by 1",
+    "content_hash": f"with l as (select task_number g, id i, sha256(id || '|' || coalesce(text, '') || chr(10)) h from atoms), {_BLOCKS} select g task_number, left(digest, 16) digest from dig",
+    "submissions_hash": f"with {Q.ATTEMPTS}, l as (select student_id g, delivery_id::varchar i, delivery_id::varchar h from attempts), {_BLOCKS} select g student_id, n, 'sha256:' || left(digest, 32) digest from dig",
     "tool_queries": f"with c as ({_CONTEXT}) select student_id, place, {strip_sql(_TOOL_TEXT)} || coalesce(' Ученик ответил ' || student_answer || '.', '') || coalesce(' Правильный ответ ' || correct_answer || '.', '') query from c",
     "judge_prompt_block": f"""with c as ({_CONTEXT}), o as (select student_id, place, 'Задача ' || place || ':' || case when length(solution) > 0 then chr(10) || '- Условие задачи с примером решения: ' || solution when length(task_text) > 0 then chr(10) || '- Условие задачи: ' || task_text else '' end
       || coalesce(chr(10) || '- Ответ ученика: ' || student_answer, '') || coalesce(chr(10) || '- Правильный ответ: ' || correct_answer, '') t from c) select student_id, string_agg(t, chr(10) || chr(10) order by place) block from o group by 1""",
@@ -389,7 +391,7 @@ ORACLES: dict[str, str] = {
       n as (select *, row_number() over (partition by student_id, task_number order by own) nth from m qualify nth <= 3) select student_id, row_number() over (partition by student_id order by task_number, nth) place, query from n""",
     "task_pick": f"select task_number, arg_min(task_id, sha256(task_id || '#42')) task_id from task_bank where length(task_id) > 0 and length({strip_sql('answer')}) > 0 group by 1",
     "callback_snapshot": f"""with t as (select student_id, string_agg(tag || '=' || round(round(score, 9)::decimal(18, 9), 3)::decimal(18, 3), ';' order by place) top_error_tags from (with {Q.SCORES}, {Q.TOP.format(8)} select * from top) group by 1),
-      {Q.ATTEMPTS}, h as (select student_id, count(*) n, 'sha256:' || left(sha256(string_agg(delivery_id::varchar, '' order by delivery_id::varchar)), 32) digest from attempts group by 1)
+      {Q.ATTEMPTS}, l as (select student_id g, delivery_id::varchar i, delivery_id::varchar h from attempts), {_BLOCKS}, h as (select g student_id, n, 'sha256:' || left(digest, 32) digest from dig)
       select student_id, coalesce(top_error_tags, '') top_error_tags, n, digest from h left join t using (student_id)""",
     "argument_names": "select task_id, case when task_number <> 13 then task_number::varchar end task, case when task_number <> 13 then coalesce(subtype, '-') end tags, case when task_number = 13 then 0 else 2 end n from task_bank",
     "diagnosis_parse": _DIAGNOSED,

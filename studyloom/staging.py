@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
 _own_root: list[str] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -42,8 +43,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_later(spark: SparkSession, table: str) -> None:
+    """Take a table out of the catalog when its files go."""
+    _tables.append((spark, table))
+
+
 def release(spark: SparkSession | None = None) -> None:
     """Remove everything written so far. DataFrames that still read it must not be used afterwards."""
+    while _tables:
+        session, table = _tables.pop()
+        try:
+            session.sql(f"drop table if exists {table}")
+        except Exception:  # the session may be gone already
+            break
     while _written:
         session, path = _written.pop()
         try:
