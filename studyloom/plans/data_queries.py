@@ -34,7 +34,7 @@ _MOMENTS = f"""
 _SESSIONS = f"""
   with m as (select * from ({_MOMENTS}) where user_id is not null and us is not null),
   g as (select *, case when us - lag(us) over (partition by user_id order by us) <= 1800000000 then 0 else 1 end fresh from m),
-  s as (select *, sum(fresh) over (partition by user_id order by us rows unbounded preceding) sid from g)
+  s as (select *, sum(fresh) over (partition by user_id order by us range unbounded preceding) sid from g)
   select user_id, min(us) start_us, max(us) end_us, count(*) n_moments from s group by user_id, sid"""
 
 
