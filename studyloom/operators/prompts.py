@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from studyloom.functions.text import label, strip, without_fence
 
@@ -134,24 +139,61 @@ def learner_block(top: DataFrame, frontier: DataFrame, wrong: DataFrame) -> Data
     return joined.select("student_id", F.array_join(F.array_compact(lines), "\n").alias("block"))
 
 
+#: Words of queries whose places in the bank a task keeps.
+MOST_WORDS = 20_000
+
+
+def _bank_best(queries: DataFrame, bank: DataFrame, n: int) -> DataFrame:
+    """``query_id, at, problem, match``: for each query the ``n`` best distinct problems of a bank, equal matches in order of ``ord``.
+
+    The bank is a table that people write, so it goes along with the code; queries come in Arrow batches, and no pair is ever a row.
+    """
+    from studyloom.functions.text import clip
+
+    shown = bank.select("ord", clip("problem", 650).alias("problem"), F.lower(F.concat_ws(" ", F.coalesce("problem", F.lit("")), F.coalesce("solution", F.lit("")))).alias("hay"))
+    rows = shown.where(F.length("problem") > 0).orderBy("ord", "problem", "hay").collect()
+    at, problems, hays = ([r[c] for r in rows] for c in ("ord", "problem", "hay"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds: dict[str, np.ndarray] = {}
+        for batch in it:
+            if len(holds) > MOST_WORDS:
+                holds.clear()
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for query, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                match = np.zeros(len(hays), np.int32)
+                for token in tokens or ():
+                    if token not in holds:
+                        holds[token] = np.fromiter((token in hay for hay in hays), bool, len(hays))
+                    match += holds[token]
+                seen: set[str] = set()
+                for i in np.argsort(-match, kind="stable"):
+                    if len(seen) == n or (tokens and not match[i]):
+                        break
+                    if problems[i] not in seen:
+                        seen.add(problems[i])
+                        for column, x in zip(out, (query, at[i], problems[i], int(match[i]))):
+                            column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (batch.schema.field(0).type, at_type, pa.string(), pa.int32()))], ["query_id", "at", "problem", "match"])
+
+    at_type = to_arrow_type(bank.schema["ord"].dataType)
+    kinds = queries.schema["query_id"].dataType.simpleString(), bank.schema["ord"].dataType.simpleString()
+    return queries.select("query_id", "tokens").mapInArrow(run, f"query_id {kinds[0]}, at {kinds[1]}, problem string, match int")
+
+
 def similar_solved(queries: DataFrame, own: DataFrame, bank: DataFrame, n: int = 2) -> DataFrame:
     """``query_id, place, problem, source, match``: solved tasks whose text holds the most words of a query; a learner's own tasks count three more.
 
-    ``queries(query_id, student_id, tokens)``, ``own(student_id, seq, problem, solution)``, ``bank(ord, problem, solution)``. Candidates come from the
-    words they share with the query, found by an equi-join on words, so a task without any isn't met; queries without words get the bank's first tasks.
+    ``queries(query_id, student_id, tokens)``, ``own(student_id, seq, problem, solution)``, ``bank(ord, problem, solution)``. A word counts wherever
+    the text has it, inside longer words too. Bank tasks without any word of the query don't count; queries without words get the bank's first tasks.
     """
     from studyloom.functions.text import clip, tokens_contained
 
-    mine = queries.join(own.where("length(problem) > 0 and length(solution) > 0"), "student_id").select("query_id", "tokens", F.lit(0).alias("origin"), (-F.col("seq")).alias("at"), "problem", "solution")
-    mine = mine.withColumn("match", tokens_contained(F.col("tokens"), "problem", "solution") + 3)
-    words = bank.select("ord", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "problem", "solution")), F.lit("([a-zа-яё0-9]+)"), 1))).alias("word"))
-    asked = queries.select("query_id", F.explode("tokens").alias("word"))
-    shared = words.join(asked, "word").groupBy("query_id", "ord").agg(F.count("*").alias("match"))
-    theirs = shared.join(bank, "ord").select("query_id", F.lit(1).alias("origin"), F.col("ord").cast("long").alias("at"), "problem", F.col("match").cast("int").alias("match"))
-    every = mine.select("query_id", "origin", F.col("at").cast("long").alias("at"), "problem", F.col("match").cast("int").alias("match")).unionByName(theirs)
+    mine = queries.join(own.where("length(problem) > 0 and length(solution) > 0"), "student_id").select("query_id", (-F.col("seq")).cast("long").alias("at"), clip("problem", 650).alias("problem"), (tokens_contained(F.col("tokens"), "problem", "solution") + 3).alias("match"))
+    theirs = _bank_best(queries, bank, n)
+    every = mine.withColumn("origin", F.lit(0)).unionByName(theirs.withColumn("origin", F.lit(1))).where(F.length("problem") > 0)
     order = [F.desc("match"), F.col("origin"), F.col("at")]
-    clipped = every.withColumn("problem", clip("problem", 650)).where(F.length("problem") > 0)
-    one = clipped.withColumn("nth", F.row_number().over(Window.partitionBy("query_id", "problem").orderBy(*order))).where("nth = 1")
+    one = every.withColumn("nth", F.row_number().over(Window.partitionBy("query_id", "problem").orderBy(*order))).where("nth = 1")
     placed = one.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("place") <= n)
     return placed.select("query_id", "place", "problem", F.when(F.col("origin") == 0, "student_recent").otherwise("task_bank").alias("source"), "match")
 
