@@ -184,15 +184,16 @@ def _bank_best(queries: DataFrame, bank: DataFrame, n: int) -> DataFrame:
 def similar_solved(queries: DataFrame, own: DataFrame, bank: DataFrame, n: int = 2) -> DataFrame:
     """``query_id, place, problem, source, match``: solved tasks whose text holds the most words of a query; a learner's own tasks count three more.
 
-    ``queries(query_id, student_id, tokens)``, ``own(student_id, seq, problem, solution)``, ``bank(ord, problem, solution)``. A word counts wherever
-    the text has it, inside longer words too. Bank tasks without any word of the query don't count; queries without words get the bank's first tasks.
+    ``queries(query_id, student_id, tokens)``, ``own(student_id, seq, rec_id, problem, solution)``, ``bank(ord, problem, solution)``. A word counts wherever
+    the text has it, inside longer words too. Of equal matches own tasks come first, by ``seq, rec_id`` from the newest, then the bank's by ``ord``, of any type. Bank tasks without any word of the query don't count; queries without words get the bank's first tasks.
     """
     from studyloom.functions.text import clip, tokens_contained
 
-    mine = queries.join(own.where("length(problem) > 0 and length(solution) > 0"), "student_id").select("query_id", (-F.col("seq")).cast("long").alias("at"), clip("problem", 650).alias("problem"), (tokens_contained(F.col("tokens"), "problem", "solution") + 3).alias("match"))
+    mine = queries.join(own.where("length(problem) > 0 and length(solution) > 0"), "student_id").withColumn("match", tokens_contained(F.col("tokens"), "problem", "solution") + 3)
+    mine = mine.select("query_id", "seq", "rec_id", clip("problem", 650).alias("problem"), "match")  # matched before: the whole text counts
     theirs = _bank_best(queries, bank, n)
-    every = mine.withColumn("origin", F.lit(0)).unionByName(theirs.withColumn("origin", F.lit(1))).where(F.length("problem") > 0)
-    order = [F.desc("match"), F.col("origin"), F.col("at")]
+    every = mine.withColumn("origin", F.lit(0)).unionByName(theirs.withColumn("origin", F.lit(1)), allowMissingColumns=True).where(F.length("problem") > 0)
+    order = [F.desc("match"), F.col("origin"), F.desc("seq"), F.desc("rec_id"), F.col("at")]
     one = every.withColumn("nth", F.row_number().over(Window.partitionBy("query_id", "problem").orderBy(*order))).where("nth = 1")
     placed = one.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("place") <= n)
     return placed.select("query_id", "place", "problem", F.when(F.col("origin") == 0, "student_recent").otherwise("task_bank").alias("source"), "match")

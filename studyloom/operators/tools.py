@@ -97,7 +97,7 @@ def get_misconception_hints(ctx: Context, error_tags: list[str] | None = None, t
 def get_similar_solved_tasks(ctx: Context, query: str = "", limit: object = 2, **_: object) -> DataFrame:
     learners = ctx.counts.select("student_id").distinct()
     queries = learners.select(F.col("student_id").alias("query_id"), "student_id", query_tokens(clip(F.lit(query), 320)).alias("tokens"))
-    own = profile.newest(ctx.errors, 100, "student_id", "seq", "rec_id").select("student_id", "seq", F.coalesce("problem_katex", "task_text", F.lit("")).alias("problem"), F.coalesce("solution", F.lit("")).alias("solution"))
+    own = profile.newest(ctx.errors, 100, "student_id", "seq", "rec_id").select("student_id", "seq", "rec_id", F.coalesce("problem_katex", "task_text", F.lit("")).alias("problem"), F.coalesce("solution", F.lit("")).alias("solution"))
     return prompts.similar_solved(queries, own, ctx.bank, _count(limit, 2, 4)).withColumnRenamed("query_id", "student_id")
 
 

@@ -241,8 +241,7 @@ def similar_tasks(spark, folder):
     solution = F.coalesce("solution", F.lit(""))
     problem = F.when(F.length(solution) > 0, X.first_filled("problem_katex", F.coalesce("task_text", F.lit("")))).otherwise("")  # without a solution a task only counts among the newest
     own = P.newest(errors.select("student_id", "seq", "rec_id", problem.alias("problem"), solution.alias("solution")), 100, "student_id", "seq", "rec_id")
-    own = own.select("student_id", (F.col("seq") * 2**20 + F.col("rec_id") % 2**20).alias("seq"), "problem", "solution")
-    bank = table(spark, folder, "task_bank").select(F.crc32(F.col("task_id").cast("binary")).alias("ord"), F.coalesce("question", F.lit("")).alias("problem"), F.coalesce("problem_katex", F.lit("")).alias("solution"))
+    bank = table(spark, folder, "task_bank").select(F.col("task_id").alias("ord"), F.coalesce("question", F.lit("")).alias("problem"), F.coalesce("problem_katex", F.lit("")).alias("solution"))
     return R.similar_solved(queries, own, bank)
 
 
