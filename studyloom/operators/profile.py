@@ -177,11 +177,13 @@ def recent_attempts(attempts: DataFrame, n: int = 3, task_number: int | None = N
     return newest(one, n, "student_id", "seq", name="place").select("student_id", "place", "task_id", "task_number", label("subtype", SUBTYPE_LABELS).alias("subtype"), "ok", clip("task_text", 900).alias("problem"), F.array_join(F.transform("tags", lambda t: label(t, {})), ", ").alias("errors"))
 
 
-def recent_wrong_examples(attempts: DataFrame, errors: DataFrame, n: int = 3, settings: Settings = DEFAULT) -> DataFrame:
+def recent_wrong_examples(attempts: DataFrame, errors: DataFrame, n: int = 3, settings: Settings = DEFAULT, task_number: int | None = None) -> DataFrame:
     """Wrong attempts, newest of each task; where there are fewer than ``n`` tasks, error events fill up: ``student_id, place, task_id, origin, subtype, problem``."""
     wrong = newest(attempts, settings.recent_limit, "student_id", "seq").where("not ok")
-    first = wrong.select("student_id", F.coalesce("task_id", F.lit("")).alias("task_id"), F.lit(0).alias("origin"), F.col("seq").alias("s_"), F.lit(0).cast("long").alias("r_"), "subtype", F.col("task_text").alias("problem"))
     kept = retained(errors, settings)
+    if task_number is not None:
+        wrong, kept = (df.where(F.col("task_number") == task_number) for df in (wrong, kept))
+    first = wrong.select("student_id", F.coalesce("task_id", F.lit("")).alias("task_id"), F.lit(0).alias("origin"), F.col("seq").alias("s_"), F.lit(0).cast("long").alias("r_"), "subtype", F.col("task_text").alias("problem"))
     second = kept.select("student_id", F.coalesce("task_id", F.lit("")).alias("task_id"), F.lit(1).alias("origin"), F.col("seq").alias("s_"), F.col("rec_id").alias("r_"), "subtype", first_filled("problem_katex", F.coalesce("task_text", F.lit(""))).alias("problem"))
     by_origin = [F.col("origin"), F.desc("s_"), F.desc("r_")]
     one = first.unionByName(second).withColumn("nth", F.row_number().over(Window.partitionBy("student_id", "task_id").orderBy(*by_origin))).where("nth = 1")

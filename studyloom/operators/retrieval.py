@@ -304,9 +304,9 @@ def diverse(scores: DataFrame, atoms: DataFrame, k: int = 12, settings: Settings
     return scan_groups(candidates, ["place"], "student_id string, atom string, place int, score double", _diverse(k, settings.mmr_lambda))
 
 
-def retrieve(base: DataFrame, atoms: DataFrame, errors: DataFrame, skills: DataFrame, weakness: DataFrame, k: int = 12, settings: Settings = DEFAULT) -> DataFrame:
+def retrieve(base: DataFrame, atoms: DataFrame, errors: DataFrame, skills: DataFrame, weakness: DataFrame, k: int = 12, task_number: int | None = None, subtype: str | None = None, settings: Settings = DEFAULT) -> DataFrame:
     """``student_id, place, atom, score``: from fused search scores to an ordered answer: boost, expansion, diversity, prerequisites first."""
     boosted = profile_boost(base, atoms, errors, skills, settings)
-    chosen = diverse(expand(boosted, atoms, weakness, k, settings=settings), atoms, k, settings)
+    chosen = diverse(expand(boosted, atoms, weakness, k, task_number, subtype, settings), atoms, k, settings)
     ordered = learning_order(chosen, atoms, "student_id")
     return ordered.join(chosen.select("student_id", "atom", "score"), ["student_id", "atom"]).select("student_id", "place", "atom", "score")

@@ -60,9 +60,24 @@ def _top(ctx: Context, n: int) -> DataFrame:
     return profile.top_errors(profile.decayed_scores(ctx.errors), n, ctx.atoms)
 
 
-def retrieve_learning_atoms(ctx: Context, k: object = 4, **_: object) -> DataFrame:
-    scores = profile.decayed_scores(ctx.errors)
-    found = retrieval.retrieve(ctx.base, ctx.atoms, scores, profile.skill_transfer(ctx.errors, ctx.atoms), graph.atom_weakness(scores, ctx.atoms), _count(k, 4, 6))
+def _of_task(df: DataFrame, number: int | None) -> DataFrame:
+    return df if number is None else df.where(F.col("task_number") == number)
+
+
+def retrieve_learning_atoms(ctx: Context, task_number: object = None, subtype: object = None, k: object = 4, **_: object) -> DataFrame:
+    """Atoms from the search of the learner's own queries; ``query`` is accepted and not used. Prerequisites may be of other tasks.
+
+    A search within a task or subtype ranks all of its atoms, so those that ``base`` didn't meet take part with score 0.
+    """
+    number, kind = _task(task_number), " ".join(str(subtype or "").split())
+    kind = None if kind in ("", "all_subtypes") else kind
+    scores, base = profile.decayed_scores(ctx.errors), ctx.base
+    if number is not None or kind is not None:
+        asked = _of_task(ctx.atoms, number)
+        asked = asked if kind is None else asked.where(F.array_contains("subtypes", kind))
+        every = beside(base.select("student_id").distinct(), asked.select(F.col("id").alias("atom")))
+        base = every.join(base, ["student_id", "atom"], "left").select("student_id", "atom", F.coalesce("score", F.lit(0.0)).alias("score"))
+    found = retrieval.retrieve(base, ctx.atoms, scores, profile.skill_transfer(ctx.errors, ctx.atoms), graph.atom_weakness(scores, ctx.atoms), _count(k, 4, 6), number, kind)
     return found.join(ctx.atoms.withColumnRenamed("id", "atom"), "atom").select("student_id", "place", "title", clip("text", 900).alias("text"), "task_number", _labels("subtypes").alias("subtypes"), F.round("score", 4).alias("score"))
 
 
@@ -70,8 +85,8 @@ def get_student_profile_summary(ctx: Context, **_: object) -> DataFrame:
     return profile.summary(ctx.counts, _top(ctx, 8))
 
 
-def get_recent_wrong_examples(ctx: Context, limit: object = 3, **_: object) -> DataFrame:
-    return profile.recent_wrong_examples(ctx.attempts, ctx.errors, _count(limit, 3, 5))
+def get_recent_wrong_examples(ctx: Context, task_number: object = None, limit: object = 3, **_: object) -> DataFrame:
+    return profile.recent_wrong_examples(ctx.attempts, ctx.errors, _count(limit, 3, 5), task_number=_task(task_number))
 
 
 def get_recent_attempts(ctx: Context, task_number: object = None, only_wrong: bool = False, limit: object = 3, **_: object) -> DataFrame:
@@ -94,11 +109,14 @@ def get_misconception_hints(ctx: Context, error_tags: list[str] | None = None, t
     return picked.withColumn("place", place).where(F.col("place") <= _count(limit, 4, 6)).select("student_id", "place", "title", F.col("text").alias("hint"), label("error_tag", {}).alias("error"), "task_number")
 
 
-def get_similar_solved_tasks(ctx: Context, query: str = "", limit: object = 2, **_: object) -> DataFrame:
+def get_similar_solved_tasks(ctx: Context, query: str = "", task_number: object = None, limit: object = 2, **_: object) -> DataFrame:
+    """Solved tasks like a query; tasks without a known number aren't of an asked one, so neither is any of a bank without ``task_number``."""
+    number = _task(task_number)
+    bank = ctx.bank if "task_number" in ctx.bank.columns else ctx.bank.withColumn("task_number", F.lit(None).cast("int"))
     learners = ctx.counts.select("student_id").distinct()
     queries = learners.select(F.col("student_id").alias("query_id"), "student_id", query_tokens(clip(F.lit(query), 320)).alias("tokens"))
-    own = profile.newest(ctx.errors, 100, "student_id", "seq", "rec_id").select("student_id", "seq", "rec_id", F.coalesce("problem_katex", "task_text", F.lit("")).alias("problem"), F.coalesce("solution", F.lit("")).alias("solution"))
-    return prompts.similar_solved(queries, own, ctx.bank, _count(limit, 2, 4)).withColumnRenamed("query_id", "student_id")
+    own = _of_task(profile.newest(ctx.errors, 100, "student_id", "seq", "rec_id"), number).select("student_id", "seq", "rec_id", F.coalesce("problem_katex", "task_text", F.lit("")).alias("problem"), F.coalesce("solution", F.lit("")).alias("solution"))
+    return prompts.similar_solved(queries, own, _of_task(bank, number), _count(limit, 2, 4)).withColumnRenamed("query_id", "student_id")
 
 
 def get_frontier_topics(ctx: Context, task_number: object = None, limit: object = 5, **_: object) -> DataFrame:

@@ -116,6 +116,26 @@ def test_tools(spark):
     assert tools.call(ctx, "get_frontier_topics", {"limit": "99"}).groupBy("student_id").count().agg(F.max("count")).first()[0] <= 6
 
 
+def test_tools_keep_to_the_asked_task(spark):
+    from studyloom.operators import tools
+
+    empty = "array<string>"
+    atoms = spark.createDataFrame([(f"a{i}", f"A{i}", "t", n, [s], ["x"], [], [], i) for i, (n, s) in enumerate([(6, "p"), (10, "p"), (10, "q"), (12, "q")])], f"id string, title string, text string, task_number int, subtypes {empty}, error_tags {empty}, prerequisites {empty}, shared_skills {empty}, ord int")
+    tasks = [("s", i, i, "x", 1.0, n, f"t{i}", "p", None, None, f"насос {n}", None, "решение") for i, n in enumerate([6, 10, 12, 10, 6], 1)]
+    errors = spark.createDataFrame(tasks, "student_id string, seq long, rec_id long, tag string, weight double, task_number int, task_id string, subtype string, student_answer string, correct_answer string, task_text string, problem_katex string, solution string")
+    attempts = errors.select("student_id", "seq", F.concat(F.lit("w"), "task_id").alias("task_id"), "task_number", "subtype", F.lit(False).alias("ok"), F.concat(F.lit("попытка "), "task_number").alias("task_text"))
+    bank = spark.createDataFrame([(n, n, f"банк насос {n}", "решение") for n in (6, 10, 12)], "ord long, task_number int, problem string, solution string")
+    counts = spark.createDataFrame([("s", "p", 5, 5)], "student_id string, subtype string, attempts int, wrong int")
+    base = atoms.select(F.lit("s").alias("student_id"), F.col("id").alias("atom"), F.lit(0.1).alias("score"))
+    ctx = tools.Context(attempts, errors, counts, atoms, atoms, bank, base)
+    ask = lambda name, **more: tools.call(ctx, name, {"task number": "10", "limit": "5", **more}).collect()
+    assert sorted(r.problem for r in ask("get_similar_solved_tasks", query="насос")) == ["банк насос 10", "насос 10"]
+    assert sorted(r.problem for r in ask("get_recent_wrong_examples")) == ["насос 10", "насос 10", "попытка 10", "попытка 10"]
+    assert sorted(r.title for r in ask("retrieve_learning_atoms")) == ["A1", "A2"]
+    assert [r.title for r in ask("retrieve_learning_atoms", subtype="q")] == ["A2"]
+    assert len(tools.call(ctx, "retrieve_learning_atoms").collect()) == 4
+
+
 def test_staged_tables_can_be_read_twice_and_released(spark):
     df = stage(spark.range(10), "ten")
     assert df.count() == df.count() == 10
