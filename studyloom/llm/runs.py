@@ -1,9 +1,10 @@
 """Runs of repeated consecutive events, each collapsed into one event with count and duration.
 
-Within an entity's sequence, the row number minus the row number among rows of the same value is
-constant exactly along a run. Both numbers are taken inside range partitions of the full sort key,
-so no entity has to fit in one task: a run keeps one difference inside a partition, and the pieces
-of runs that touch a partition's edge (two a partition) are numbered once more among themselves.
+Inside range partitions of the full sort key one scan compares neighbours, so no entity has to fit in
+one task. The pieces of runs that touch a partition's edge (two a partition) are joined by row numbers
+among themselves: within an entity's sequence, the row number minus the row number among rows of the
+same value is constant exactly along a run. The scan takes that difference within a batch too, but
+where neighbours have equal entity and value it can't change, so it decides nothing there.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ _NONE_LOW, _NONE_HIGH = 2**63 - 1, -(2**63)
 
 
 def _run_pieces(entity: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """For sorted rows of entity and value codes, the start of each run, by row-number difference."""
+    """For sorted rows of entity and value codes, the start of each run: where a neighbour differs (the row-number difference changes nowhere else)."""
     n = len(entity)
     row = np.arange(n)
     start = np.maximum.accumulate(np.where(np.r_[True, entity[1:] != entity[:-1]], row, 0))
