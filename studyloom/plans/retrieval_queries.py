@@ -1,7 +1,8 @@
 """Queries of retrieval, ranking and evaluation.
 
 Vectors come from ``embeddings``; a query set is every vector whose id is divisible by 100, against
-all vectors, and likewise for documents. Atoms borrow the vectors of the first ids, in their order.
+all vectors, and likewise for documents. ``retrieve_pipeline`` begins with a search by words, as there are
+no vectors of atoms or learners' queries; the other queries of a learner's ranking begin with ranks by ``ord``.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from studyloom.operators import graph as G
 from studyloom.operators import profile as P
 from studyloom.operators import retrieval as V
 from studyloom.plans import profile_queries as Q
+from studyloom.plans import text_queries as T
 from studyloom.plans.tables import table
+from studyloom.staging import stage
 
 K = 10
 
@@ -107,7 +110,7 @@ def subtype_jaccard(spark, folder):
 
 
 def _base(spark, folder) -> DataFrame:
-    """Fused search scores of learners: each learner's query ranks the atoms of its most frequent task by ``ord``."""
+    """In place of a search's scores: the atoms of each learner's most frequent task, ranked by ``ord``."""
     atoms = table(spark, folder, "atoms")
     tasks = Q._errors(spark, folder).groupBy("student_id", "task_number").agg(F.count("*").alias("n"))
     main = tasks.groupBy("student_id").agg(F.max_by("task_number", F.struct("n", "task_number")).alias("task_number"))
@@ -148,9 +151,21 @@ def topo_order(spark, folder):
     return G.learning_order(best.select("student_id", "atom", "place"), atoms, "student_id")
 
 
+def _searched(spark, folder, k: int = 12) -> DataFrame:
+    """``student_id, atom, score``: reciprocal ranks of the atoms that each of a learner's queries finds by words, summed over the queries."""
+    atoms = table(spark, folder, "atoms")
+    asked = stage(T.query_set(spark, folder).select("student_id", "query", F.xxhash64("query").alias("query_id")), "asked")
+    queries = stage(V.term_weights(asked.select("query_id", "query").distinct(), "query_id", "query"), "query-terms")
+    documents = V.term_weights(atoms.select("ord", F.concat_ws("\n", "title", "text").alias("text")), "ord", "text")
+    found = V.fuse_legs([(V.sparse_topk(queries, documents, V.fetch_limit(k)), DEFAULT.sparse_weight)], V.fetch_limit(k))
+    scores = V.fuse_queries(asked.join(found, "query_id").select("student_id", "doc_id", "place"), "student_id")
+    return scores.join(atoms.select(F.col("ord").cast("long").alias("doc_id"), F.col("id").alias("atom")), "doc_id").select("student_id", "atom", "score")
+
+
 def retrieve_pipeline(spark, folder):
+    """From the learners' own queries (:func:`text_queries.query_set`) to atoms in the order of learning."""
     errors, atoms = Q._errors(spark, folder), table(spark, folder, "atoms")
-    out = V.retrieve(_base(spark, folder), atoms, P.decayed_scores(errors), P.skill_transfer(errors, atoms), Q._weakness(spark, folder))
+    out = V.retrieve(_searched(spark, folder), atoms, P.decayed_scores(errors), P.skill_transfer(errors, atoms), Q._weakness(spark, folder))
     return out.select("student_id", "place", "atom", F.round("score", 6).alias("score"))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -177,3 +179,35 @@ def test_tasks_without_a_match_are_linked_to_all(spark):
 def test_scores_snap_to_the_lower_of_two(spark):
     df = spark.createDataFrame([(x,) for x in (0.1, 0.125, 0.3, 0.375, 0.9, -1.0, 7.0)], "x double")
     assert [r[0] for r in df.select(E.snap_score(F.col("x"))).collect()] == [0.0, 0.0, 0.25, 0.25, 1.0, 0.0, 1.0]
+
+
+def test_the_pipeline_begins_with_the_learners_queries(spark):
+    """Atoms that hold the words of a learner's queries are candidates, whatever their task; ranks of each query add up."""
+    from pathlib import Path
+
+    from studyloom.plans import retrieval_queries as R
+    from studyloom.plans.tables import table
+    from studyloom.plans.text_queries import query_set
+
+    folder = "/root/testdata/sf0.001"
+    if not Path(folder).exists():
+        pytest.skip("no test tables")
+    words = lambda t: [w for w in re.findall(r"[a-zа-яё0-9]+", t.lower()) if len(w) > 1]
+    atoms = table(spark, folder, "atoms").collect()
+    asked = query_set(spark, folder).collect()
+    texts, queries = {a.ord: words(f"{a.title}\n{a.text}") for a in atoms}, {r.query: words(r.query) for r in asked}
+
+    def weights(bags):
+        mean = sum(map(len, bags.values())) / len(bags)
+        return {k: {w: n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(b) / mean)) for w, n in Counter(b).items()} for k, b in bags.items()}
+
+    q, d, want = weights(queries), weights(texts), {}
+    ids = {a.ord: a.id for a in atoms}
+    ranked = {t: sorted((-round(sum(w * d[o][x] for x, w in own.items() if x in d[o]), 9), o) for o in d if own.keys() & d[o].keys())[:48] for t, own in q.items()}
+    for r in asked:
+        for place, (_, o) in enumerate(ranked[r.query], 1):
+            want[r.student_id, ids[o]] = want.get((r.student_id, ids[o]), 0) + 1 / (10 + place)
+    got = {(r.student_id, r.atom): r.score for r in R._searched(spark, folder).collect()}
+    assert got.keys() == want.keys() and got == pytest.approx(want)
+    out = {r.student_id for r in R.retrieve_pipeline(spark, folder).collect()}
+    assert out == {s for s, _ in want}
