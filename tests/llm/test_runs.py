@@ -5,11 +5,12 @@ from __future__ import annotations
 import random
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from studyloom.llm.runs import _scan, collapse_runs, repeated_errors
+from studyloom.llm.runs import _Numbers, _scan, collapse_runs, repeated_errors
 
 SCHEMA = "entity string, value binary, seq long, rec_id long, at_us long, extra string, place long"
 
@@ -69,3 +70,15 @@ def test_spellings(spark):
     rows = [("s", "Sign-lost", 1, 10, "2026-03-01T00:00:00Z", "A 1"), ("s", " sign_lost ", 1, 11, "bad", "a_1"), ("s", "sign lost", 2, 5, "2026-03-01T00:00:09Z", "A-1"), ("s", None, 2, 6, None, "A-1"), ("s", "sign lost", 3, 7, None, "B")]
     df = spark.createDataFrame(rows, "student_id string, tag string, attempt_seq int, rec_id long, ts string, task_id string")
     assert [(r.lo_rec_id, r.hi_rec_id, r.n_events, r.duration_us) for r in repeated_errors(df).collect()] == [(5, 11, 3, 9_000_000)]
+
+
+def test_the_difference_of_numbers_separates_runs_of_equal_values():
+    entity, value = (pa.array(x).dictionary_encode() for x in (["e"] * 6 + ["f"] * 2, [b"a", b"a", b"b", b"a", b"b", b"a", b"a", b"a"]))
+    numbers = _Numbers()
+    order, begin, island = numbers.groups(entity, value)
+    groups = [sorted(g.tolist()) for g in np.split(order, begin[1:])]
+    assert sorted(groups) == [[0, 1], [2], [3], [4], [5], [6, 7]]
+    assert {g[0]: int(i) for g, i in zip(groups, island)} == {0: 0, 3: 1, 5: 2, 2: 2, 4: 3, 6: 0}
+    # The next batch goes on with the open entity, so its first run has the same key as this batch's last.
+    again = numbers.groups(*(pa.array(x).dictionary_encode() for x in (["f", "f"], [b"a", b"c"])))
+    assert again[2].tolist() == [0, 3]
