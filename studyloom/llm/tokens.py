@@ -1,17 +1,19 @@
 """Encoding of whole texts with a public byte-level tokenizer.
 
-Encoding is a tree reduction over a monoid whose elements are encoded spans of one text. A long
-text is halved until spans are short, spans are encoded by the public library, and neighbours are
-joined. A join keeps every token that provably doesn't depend on the other side:
-
-* The splitting pattern is matched from left to right without looking back, and what it matches
-  depends on at most two characters past the match (an apostrophe takes two letters with it). So
-  words of the left span that end two characters before its end stand, and once a match in the
-  joined text begins where a word of the right span begins, all later words of the right stand.
-  Matching restarts at the first word that may not stand and goes on until that happens.
-* Inside one long word, a sequence of tokens is the word's encoding exactly if each neighbouring
-  pair encodes to itself. A growing window of tokens around the seam is encoded again until its
-  first and last token are those that stood there before; then every pair is one already known.
+Encoding is a tree reduction over a monoid whose elements are encoded spans of one text. Every text
+is halved until spans are short, spans are encoded by the public library, and neighbours are joined.
+A join encodes a window around the seam again and keeps the tokens outside it. The window grows until
+both its ends are places where a word begins whatever stands around them:
+
+* The splitting pattern matches from left to right without looking back, and what it matches depends
+  on at most two characters past the match. Where a blank follows something that is no blank, and
+  where two different classes of letters, digits and marks meet (but for a letter behind an
+  apostrophe), every match ends, so a word begins there in the span alone and in the joined text.
+  Words before the window and after it are therefore the same in both.
+* In a window that holds one long word only, tokens are joined: a sequence of tokens is the word's
+  encoding exactly if each neighbouring pair encodes to itself. A growing window of tokens around the
+  seam is encoded again until its first and last token are those that stood there before; then every
+  pair is one already known.
 
 Decoding concatenates bytes up the same tree.
 """
@@ -19,9 +21,9 @@ Decoding concatenates bytes up the same tree.
 from __future__ import annotations
 
 import base64
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -34,84 +36,101 @@ from pyspark.sql import functions as F
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the splitting pattern of the public vocabulary byte_bpe_50k.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters past a match that can change it.
-LOOKAHEAD = 2
 #: Longest span, in characters, that is encoded at once.
-LEAF_CHARS = 20_000
+LEAF_CHARS = 128
+#: Characters beside a seam that are looked at first for the window's end.
+WINDOW = 32
 #: Words longer than this, in characters, are joined token by token.
 LONG_WORD = 4_000
+#: Places where a word begins whatever stands around them, with one character on either side.
+_SURE = r"(?<=\p{L})(?=[^\p{L}])|(?<=\p{N})(?=[^\p{N}])|(?<=[^\s\p{L}\p{N}])(?=[\s\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=\p{L})"
 
 
-class Span:
-    """An encoded stretch of text: its words' starts, and for each word the place of its first token."""
+class Span(NamedTuple):
+    """The encoded stretch ``text[start:end]``."""
 
-    __slots__ = ("first", "ids", "text", "words")
-
-    def __init__(self, text: str, words: list[int], first: list[int], ids: np.ndarray):
-        self.text, self.words, self.first, self.ids = text, words, first, ids
+    start: int
+    end: int
+    ids: np.ndarray
 
 
 class Tokenizer:
     """Byte-level encoder for one rank file of ``folder``."""
 
-    def __init__(self, name: str = "byte_bpe_50k", folder: str = TOKENIZERS, leaf: int = LEAF_CHARS, long_word: int = LONG_WORD):
+    def __init__(self, name: str = "byte_bpe_50k", folder: str = TOKENIZERS, leaf: int = LEAF_CHARS, long_word: int = LONG_WORD, window: int = WINDOW):
         import tiktoken
 
         with open(f"{folder}/{name}.tiktoken", "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.leaf, self.long_word = leaf, long_word
+        self.leaf, self.long_word, self.window = leaf, long_word, window
+        #: Joins made so far, and those that went on inside one long word.
+        self.joins = self.long_joins = 0
         self.library = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.pattern = regex.compile(PATTERN)
+        self.pattern, self._sure, self._sure_last = regex.compile(PATTERN), regex.compile(_SURE), regex.compile(f"(?r){_SURE}")
         self.token_bytes = {rank: token for token, rank in ranks.items()}
+        self._length = np.zeros(max(ranks.values()) + 1, np.int64)
+        self._length[list(ranks.values())] = [len(t) for t in ranks]
 
     # --- leaves ---
 
     def _word(self, word: str) -> list[int]:
         return self.library._encode_single_piece(word.encode("utf-8", "surrogatepass"))
 
-    def _leaf(self, text: str) -> Span:
-        words, first, ids = [], [], []
-        for m in self.pattern.finditer(text):
-            words.append(m.start())
-            first.append(len(ids))
-            ids.extend(self._word(m.group()))
-        return Span(text, words, first, np.asarray(ids, np.int32))
+    def _plain(self, text: str) -> np.ndarray:
+        return np.asarray(self.library.encode_ordinary(text), np.int32)
 
     # --- the monoid ---
 
-    def join(self, left: Span, right: Span) -> Span:
-        """The encoded concatenation of two spans."""
-        if not left.words or not right.words:
-            return right if not left.words else left
-        text, offset = left.text + right.text, len(left.text)
-        final = max(0, bisect_right(left.words, offset - LOOKAHEAD) - 1)
-        at, keep = left.words[final], left.first[final]
-        words, first, middle = left.words[:final], left.first[:final], []
-        sync = len(right.words)
-        while at < len(text):
-            if at >= offset and (i := bisect_left(right.words, at - offset)) < len(right.words) and right.words[i] == at - offset:
-                sync = i
-                break
-            m = self.pattern.match(text, at)
-            words.append(at)
-            first.append(keep + len(middle))
-            middle.extend(self._join_word(left, right, text, at, m.end(), offset))
-            at = m.end()
-        start = right.first[sync] if sync < len(right.words) else len(right.ids)
-        shift = keep + len(middle) - start
-        words = words + [w + offset for w in right.words[sync:]]
-        first = first + [f + shift for f in right.first[sync:]]
-        return Span(text, words, first, np.concatenate([left.ids[:keep], np.asarray(middle, np.int32), right.ids[start:]]))
-
-    def _join_word(self, left: Span, right: Span, text: str, at: int, end: int, offset: int) -> list[int]:
-        """Tokens of the word ``text[at:end]`` of the joined text."""
-        reaches = bisect_left(right.words, end - offset)
-        whole = at == left.words[-1] and reaches == 1 and (len(right.words) == 1 or right.words[1] == end - offset)
-        if end - at <= self.long_word or not whole:
-            return self._word(text[at:end])
-        a = left.ids[left.first[-1] :].tolist()
-        b = right.ids[: right.first[1] if len(right.words) > 1 else len(right.ids)].tolist()
-        return self._seam(a, b)
+    def _window(self, text: str, start: int, seam: int, end: int) -> tuple[int, int]:
+        """The nearest sure beginnings of words before and behind ``seam``, or the ends of the spans where there are none."""
+        # The common case first: a single blank behind a word.
+        low = text.rfind(" ", max(start + 1, seam - self.window), seam - 1)
+        if low < 0 or text[low - 1].isspace():
+            m = self._sure_last.search(text, start, seam)
+            low = m.start() if m and m.start() > start else start
+        high = text.find(" ", seam + 1, min(end, seam + self.window))
+        if high < 0 or text[high - 1].isspace():
+            m = self._sure.search(text, seam, end)
+            while m and m.start() <= seam:
+                m = self._sure.search(text, m.start() + 1, end)
+            high = m.start() if m and m.start() < end else end
+        return low, high
+
+    def join(self, text: str, left: Span, right: Span) -> Span:
+        """The encoded concatenation of two neighbouring spans of ``text``."""
+        start, seam, end = left.start, left.end, right.end
+        self.joins += 1
+        low, high = self._window(text, start, seam, end)
+        if high - low > self.long_word:
+            return self._join_long(text, left, right, low, high)
+        library = self.library
+        kept = len(left.ids) - len(library.encode_ordinary(text[low:seam]))
+        dropped = len(library.encode_ordinary(text[seam:high]))
+        return Span(start, end, np.concatenate([left.ids[:kept], self._plain(text[low:high]), right.ids[dropped:]]))
+
+    def _words(self, text: str, start: int, end: int) -> list[tuple[int, int]]:
+        return [m.span() for m in self.pattern.finditer(text, start, end)]
+
+    def _join_long(self, text: str, left: Span, right: Span, low: int, high: int) -> Span:
+        """A join whose window holds a long word: words of the window one by one, the one across the seam token by token."""
+        self.long_joins += 1
+        seam = left.end
+        before, behind = self._words(text, low, seam), self._words(text, seam, high)
+        # Places of each word's first token, counted from the seam in bytes.
+        ends = np.cumsum(self._length[left.ids[::-1]])
+        starts = np.cumsum(self._length[right.ids])
+        size = lambda a, b: len(text[a:b].encode("utf-8", "surrogatepass"))
+        kept = len(left.ids) - (int(np.searchsorted(ends, size(low, seam))) + 1 if low < seam else 0)
+        dropped = int(np.searchsorted(starts, size(seam, high))) + 1 if high > seam else 0
+        middle: list[int] = []
+        for a, b in self._words(text, low, high):
+            if a < seam < b and b - a > self.long_word and before and before[-1] == (a, seam) and behind[0] == (seam, b):
+                k = int(np.searchsorted(ends, size(a, seam))) + 1
+                n = int(np.searchsorted(starts, size(seam, b))) + 1
+                middle += self._seam(left.ids[len(left.ids) - k :].tolist(), right.ids[:n].tolist())
+            else:
+                middle += self._word(text[a:b])
+        return Span(left.start, right.end, np.concatenate([left.ids[:kept], np.asarray(middle, np.int32), right.ids[dropped:]]))
 
     def _seam(self, a: list[int], b: list[int]) -> list[int]:
         """Join the encodings of two parts of one word by encoding a growing window again."""
@@ -125,19 +144,17 @@ class Tokenizer:
                 return a[:i] + window + b[j:]
             width *= 2
 
-    def _tree(self, text: str) -> Span:
-        if len(text) <= self.leaf:
-            return self._leaf(text)
-        half = len(text) // 2
-        return self.join(self._tree(text[:half]), self._tree(text[half:]))
+    def _tree(self, text: str, start: int, end: int) -> Span:
+        if end - start <= self.leaf:
+            return Span(start, end, self._plain(text[start:end]))
+        half = (start + end) // 2
+        return self.join(text, self._tree(text, start, half), self._tree(text, half, end))
 
     # --- whole texts ---
 
     def encode(self, text: str | None) -> list[int] | np.ndarray:
         """Token ids of a text; an empty list for an empty or null text. No special tokens."""
-        if not text:
-            return []
-        return self.library.encode_ordinary(text) if len(text) <= self.leaf else self._tree(text).ids
+        return self._tree(text, 0, len(text)).ids if text else []
 
     def count(self, text: str | None) -> int:
         return len(self.encode(text))

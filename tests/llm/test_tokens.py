@@ -23,7 +23,7 @@ def library():
 
 @pytest.fixture(scope="module")
 def tiny():
-    return Tokenizer(leaf=7, long_word=5)
+    return Tokenizer(leaf=7, long_word=5, window=4)
 
 
 @settings(max_examples=400, deadline=None)
@@ -59,3 +59,13 @@ def test_nulls_empty_texts_and_repeats(spark):
     counts = {r.doc_id: r.n for r in df.select("doc_id", token_count(df.text).alias("n")).collect()}
     assert counts[1] == 0 and counts[3] == len([r for r in got if r[0] == 3][0][1])
     assert encode_texts(df.where("false"), "doc_id", "text").collect() == []
+
+
+def test_documents_are_joined_up_the_tree(spark):
+    t, texts = Tokenizer(), [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() if r.text]
+    joined = 0
+    for text in texts:
+        before = t.joins
+        assert list(t.encode(text)) == t.library.encode_ordinary(text)
+        joined += t.joins > before
+    assert joined > len(texts) / 2
