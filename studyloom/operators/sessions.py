@@ -70,7 +70,8 @@ def sessionize(moments: DataFrame, gap_us: int = GAP_US) -> DataFrame:
     A user's moments may span any number of partitions.
     """
     usable = moments.select(F.col("user_id").cast("string").alias("user_id"), F.col("at_us").cast("long").alias("at_us")).where("user_id is not null and at_us is not null")
-    pieces = secondary_sort(usable, "user_id", "at_us").mapInArrow(_scan(gap_us), "user_id string, start_us long, end_us long, n_moments long, edge boolean")
+    narrow = stage(usable, "moments")  # the range partitioning reads it twice
+    pieces = secondary_sort(narrow, "user_id", "at_us").mapInArrow(_scan(gap_us), "user_id string, start_us long, end_us long, n_moments long, edge boolean")
     pieces = stage(pieces, "session-pieces")
     by_user = Window.partitionBy("user_id").orderBy("start_us", "end_us")
     before = by_user.rowsBetween(Window.unboundedPreceding, -1)
