@@ -1,15 +1,15 @@
 """One row per entity with count, latest time and total of each of hundreds of event kinds.
 
-Entities get dense ordinals in blocks of :data:`BLOCK`. For each kind and block, counts and totals
-are bit-sliced numbers: slice ``i`` is a bitmap over the block's ordinals that holds bit ``i`` of
-every entity's value. Two such numbers are added by ripple carry over whole bitmaps (exclusive-or
-for the sum, and for the carry), so adding costs the same for one entity as for a full block.
-Bitmaps are stored compressed, as ordinals where few bits are set. Latest times are arrays aligned
-with the ordinals, joined by maximum.
-
-Map tasks build partial slices from their own rows, so an entity or kind that holds a third of all
-rows reaches the shuffle as a few small bitmaps a task. Partials are first added per kind and
-block, then per block the slices are decoded into entity rows.
+Map tasks add up their own rows for each entity and kind, so an entity or kind that holds a third of
+all rows reaches the shuffle as one cell a chunk, and raw rows are never shuffled. The cells of a
+chunk go out in one row for each block of entities (a block is a range of the entity's hash).
+
+The task that gets a block gives its entities dense ordinals. For each kind, counts and totals are
+bit-sliced numbers: slice ``i`` is a bitmap over the ordinals that holds bit ``i`` of every entity's
+value. Two such numbers are added by ripple carry over whole bitmaps (exclusive-or for the sum, and for
+the carry), so adding costs the same for one entity as for a full block. Between additions bitmaps are
+held compressed, as ordinals where few bits are set. Latest times are arrays aligned with the ordinals,
+joined by maximum. In the end the slices are decoded into entity rows.
 """
 
 from __future__ import annotations
@@ -23,16 +23,21 @@ from pyspark.sql import functions as F
 
 from studyloom.functions.keys import iso_micros, joined_words
 
-#: Ordinals in a block; a block's decoded cells are at most this many times the number of kinds.
-BLOCK = 4096
-#: Rows that a map task holds before it turns them into slices.
+#: Entities that a block has on average.
+BLOCK = 2048
+#: Rows that a map task adds up at once.
 CHUNK_ROWS = 1_000_000
+#: Cells that a block collects before it adds them to its bit-sliced numbers.
+FLUSH_CELLS = 500_000
 #: Totals are whole numbers of this fraction, so that adding is exact in any order.
 UNIT = 1_000_000
 _NO_TIME = -(2**63)
-_BYTES = BLOCK // 8
-_PARTIAL = "block long, kind string, counts binary, plus binary, minus binary, ordinals binary, latest binary, entity string, ordinal int"
-_PARTIAL_ARROW = pa.schema([("block", pa.int64()), ("kind", pa.string()), *((c, pa.binary()) for c in ("counts", "plus", "minus", "ordinals", "latest")), ("entity", pa.string()), ("ordinal", pa.int32())])
+#: Weights are carried in two parts of this many bits, so that the sums of a chunk stay exact.
+_LOW_BITS = 31
+_LOW = 2**_LOW_BITS - 1
+_ARRAYS = ("ordinal", "kind", "count", "plus", "plus_high", "minus", "minus_high", "latest")
+_CHUNK = "block long, entities array<string>, kinds array<string>, cells array<binary>"
+_CHUNK_ARROW = pa.schema([("block", pa.int64()), ("entities", pa.list_(pa.string())), ("kinds", pa.list_(pa.string())), ("cells", pa.list_(pa.binary()))])
 _ROWS = "entity string, counts map<string,bigint>, latest_us map<string,bigint>, totals map<string,double>"
 
 
@@ -44,7 +49,7 @@ def slices_of(ordinals: np.ndarray, values: np.ndarray) -> list[int]:
     top = int(values.max()).bit_length() if len(values) else 0
     if not top:
         return []
-    grid = np.zeros((top, BLOCK), np.uint8)
+    grid = np.zeros((top, int(ordinals.max()) + 1), np.uint8)
     grid[:, ordinals] = (values[None, :] >> np.arange(top)[:, None]) & 1
     return [int.from_bytes(row.tobytes(), "little") for row in np.packbits(grid, axis=1, bitorder="little")]
 
@@ -61,46 +66,43 @@ def carry_add(into: list[int], other: list[int]) -> None:
         half = a ^ b
         into[i] = half ^ carry
         carry = (a & b) | (carry & half)
-    if not into[-1]:
+    while into and not into[-1]:
         into.pop()
 
 
-def values_of(slices: list[int]) -> np.ndarray:
-    """The block's values, by ordinal."""
-    out = np.zeros(BLOCK, np.int64)
+def _bits(bitmap: int, width: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bitmap.to_bytes((width + 7) // 8, "little"), np.uint8), bitorder="little", count=width)
+
+
+def values_of(slices: list[int], width: int) -> np.ndarray:
+    """The values of ordinals ``0 ... width - 1``; as floats where they don't fit 62 bits."""
+    out = np.zeros(width, np.int64 if len(slices) <= 62 else np.float64)
     for i, bitmap in enumerate(slices):
-        out += np.unpackbits(np.frombuffer(bitmap.to_bytes(_BYTES, "little"), np.uint8), bitorder="little").astype(np.int64) << i
+        out += _bits(bitmap, width).astype(out.dtype) * (1 << i if len(slices) <= 62 else 2.0**i)
     return out
 
 
-def pack(slices: list[int]) -> bytes:
-    """Compressed form: for each slice its number of set bits, then ordinals where they are few, else the bitmap."""
+def pack(slices: list[int]) -> list[tuple[int, bytes]]:
+    """Compressed form: for each slice its number of set bits with its ordinals where they are few, else with the bitmap."""
     parts = []
     for bitmap in slices:
-        n = bitmap.bit_count()
-        parts.append(np.uint16(n).tobytes())
-        raw = bitmap.to_bytes(_BYTES, "little")
-        if 2 * n < _BYTES:
-            parts.append(np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")).astype(np.uint16).tobytes())
-        else:
-            parts.append(raw)
-    return b"".join(parts)
+        n, size = bitmap.bit_count(), (bitmap.bit_length() + 7) // 8
+        few = 4 * n < size
+        parts.append((n if few else -1, np.flatnonzero(_bits(bitmap, 8 * size)).astype(np.uint32).tobytes() if few else bitmap.to_bytes(size, "little")))
+    return parts
 
 
-def unpack(data: bytes) -> list[int]:
+def unpack(parts: list[tuple[int, bytes]]) -> list[int]:
     """Inverse of :func:`pack`."""
-    out, at = [], 0
-    while at < len(data):
-        n = int(np.frombuffer(data, np.uint16, 1, at)[0])
-        at += 2
-        if 2 * n < _BYTES:
-            bits = np.zeros(BLOCK, np.uint8)
-            bits[np.frombuffer(data, np.uint16, n, at)] = 1
-            out.append(int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little"))
-            at += 2 * n
-        else:
-            out.append(int.from_bytes(data[at : at + _BYTES], "little"))
-            at += _BYTES
+    out = []
+    for n, data in parts:
+        if n < 0:
+            out.append(int.from_bytes(data, "little"))
+            continue
+        bitmap = 0
+        for at in np.frombuffer(data, np.uint32).tolist():
+            bitmap |= 1 << at
+        out.append(bitmap)
     return out
 
 
@@ -108,168 +110,199 @@ class Sliced:
     """Counts, totals and latest times of one kind over one block."""
 
     def __init__(self) -> None:
-        self.counts: list[int] = []
-        self.plus: list[int] = []
-        self.minus: list[int] = []
-        self.latest = np.full(BLOCK, _NO_TIME, np.int64)
+        self.numbers: dict[str, list[tuple[int, bytes]]] = {}
+        self.latest = np.empty(0, np.int64)
+
+    def add(self, ordinals: np.ndarray, cells: dict[str, np.ndarray]) -> None:
+        for name in ("count", "plus", "minus"):
+            number = slices_of(ordinals, cells[name])
+            if name != "count" and cells[f"{name}_high"].any():
+                carry_add(number, [0] * _LOW_BITS + slices_of(ordinals, cells[f"{name}_high"]))
+            if number:
+                running = unpack(self.numbers.get(name, []))
+                carry_add(running, number)
+                self.numbers[name] = pack(running)
+        if len(ordinals) and ordinals.max() >= len(self.latest):
+            self.latest = np.append(self.latest, np.full(int(ordinals.max()) + 1, _NO_TIME))
+        self.latest[ordinals] = np.maximum(self.latest[ordinals], cells["latest"])
+
+    def values(self, name: str, width: int) -> np.ndarray:
+        return values_of(unpack(self.numbers.get(name, [])), width)
+
+
+# --- cells: sums of one entity and kind ---
+
+
+def _add_up(cells: dict[str, np.ndarray], major: str, minor: str) -> dict[str, np.ndarray]:
+    """One cell for each pair of ``major`` and ``minor``, sorted by both."""
+    order = np.lexsort((cells[minor], cells[major]))
+    a, b = cells[major][order], cells[minor][order]
+    begin = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, np.int64)
+    out = {major: a[begin], minor: b[begin]}
+    for name in _ARRAYS[2:]:
+        reduce = np.maximum if name == "latest" else np.add
+        out[name] = reduce.reduceat(cells[name][order], begin) if len(a) else cells[name]
+    for name in ("plus", "minus"):  # the low part stays below its size, for any number of additions
+        out[f"{name}_high"] = out[f"{name}_high"] + (out[name] >> _LOW_BITS)
+        out[name] = out[name] & _LOW
+    return out
+
 
-    def add(self, counts: bytes, plus: bytes, minus: bytes, ordinals: bytes, latest: bytes) -> None:
-        carry_add(self.counts, unpack(counts))
-        if plus:
-            carry_add(self.plus, unpack(plus))
-        if minus:
-            carry_add(self.minus, unpack(minus))
-        at = np.frombuffer(ordinals, np.uint16)
-        self.latest[at] = np.maximum(self.latest[at], np.frombuffer(latest, np.int64))
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs; nothing for zeros alone."""
+    if not values.any():
+        return b""
+    kind = next((k for k in ("<u1", "<u2", "<u4") if values.min() >= 0 and values.max() <= np.iinfo(k).max), "<i8")
+    return kind.encode() + values.astype(kind).tobytes()
 
-    def packed(self) -> tuple[bytes, bytes, bytes, bytes, bytes]:
-        timed = np.flatnonzero(self.latest != _NO_TIME)
-        return pack(self.counts), pack(self.plus), pack(self.minus), timed.astype(np.uint16).tobytes(), self.latest[timed].tobytes()
 
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, data[:3].decode(), n, 3).astype(np.int64) if data else np.zeros(n, np.int64)
 
-def _partials(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map side: chunks of ``block, ordinal, weight_units, at_us, kinds`` to packed slices for each kind and block."""
+
+def _combine(chunk: int):
+    """Map side: ``block, entity, units, at_us, kinds`` to the cells of each chunk, one row a block."""
 
     def emit(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held).combine_chunks()
-        kinds = table.column("kinds").combine_chunks()
-        rows = np.repeat(np.arange(table.num_rows), np.diff(kinds.offsets.to_numpy()))
-        named = kinds.flatten().dictionary_encode()
-        code, names = named.indices.to_numpy(zero_copy_only=False), named.dictionary.to_pylist()
-        block, ordinal = (table.column(c).to_numpy()[rows] for c in ("block", "ordinal"))
-        weight, at = (table.column(c).to_numpy()[rows] for c in ("units", "at_us"))
-        order = np.lexsort((ordinal, block, code))
-        code, block, ordinal, weight, at = code[order], block[order], ordinal[order], weight[order], at[order]
-        if not len(code):
-            return
-        cell = np.flatnonzero(np.r_[True, (np.diff(code) != 0) | (np.diff(block) != 0) | (np.diff(ordinal) != 0)])
-        count = np.diff(np.append(cell, len(code)))
-        plus = np.add.reduceat(np.maximum(weight, 0), cell)
-        minus = np.add.reduceat(np.maximum(-weight, 0), cell)
-        latest = np.maximum.reduceat(at, cell)
-        code, block, ordinal = code[cell], block[cell], ordinal[cell]
-        group = np.flatnonzero(np.r_[True, (np.diff(code) != 0) | (np.diff(block) != 0)])
-        columns: list[list] = [[] for _ in range(7)]
-        for a, b in zip(group, np.append(group[1:], len(code))):
-            where = ordinal[a:b]
-            timed = latest[a:b] != _NO_TIME
-            parts = (int(block[a]), names[code[a]], pack(slices_of(where, count[a:b])), pack(slices_of(where, plus[a:b])), pack(slices_of(where, minus[a:b])), where[timed].astype(np.uint16).tobytes(), latest[a:b][timed].tobytes())
-            for column, value in zip(columns, parts):
+        named = table.column("entity").combine_chunks().dictionary_encode(null_encoding="encode")
+        entity = named.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        block_of = np.zeros(len(named.dictionary), np.int64)
+        block_of[entity] = table.column("block").to_numpy()
+        by_block = np.argsort(block_of, kind="stable")
+        rank = np.empty_like(by_block)
+        rank[by_block] = np.arange(len(by_block))
+        lists = table.column("kinds").combine_chunks()
+        row = np.repeat(np.arange(table.num_rows), np.diff(lists.offsets.to_numpy()))
+        kinds = lists.flatten().dictionary_encode()
+        units = table.column("units").to_numpy()[row]
+        plus, minus = np.maximum(units, 0), np.maximum(-units, 0)
+        cells = {"ordinal": rank[entity[row]], "kind": kinds.indices.to_numpy(zero_copy_only=False).astype(np.int64), "count": np.ones(len(row), np.int64), "latest": table.column("at_us").to_numpy()[row]}
+        cells |= {"plus": plus & _LOW, "plus_high": plus >> _LOW_BITS, "minus": minus & _LOW, "minus_high": minus >> _LOW_BITS}
+        cells = _add_up(cells, "ordinal", "kind")
+        blocks, first = np.unique(block_of[by_block], return_index=True)
+        last = np.append(first[1:], len(by_block))
+        edges = np.searchsorted(cells["ordinal"], np.append(first, len(by_block)))
+        out: list[list] = [[] for _ in range(4)]
+        for block, a, b, x, y in zip(blocks.tolist(), first, last, edges, edges[1:]):
+            part = {name: values[x:y] for name, values in cells.items()}
+            part["ordinal"] = part["ordinal"] - a
+            used, part["kind"] = np.unique(part["kind"], return_inverse=True)
+            row_ = (block, named.dictionary.take(pa.array(by_block[a:b])).to_pylist(), kinds.dictionary.take(pa.array(used)).to_pylist(), [int(y - x).to_bytes(4, "little"), *(_packed(part[name]) for name in _ARRAYS)])
+            for column, value in zip(out, row_):
                 column.append(value)
-        yield _partial_batch(columns)
-
-    held, size = [], 0
-    for batch in it:
-        held.append(batch)
-        size += batch.num_rows
-        if size >= CHUNK_ROWS:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _CHUNK_ARROW)], schema=_CHUNK_ARROW)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in it:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= chunk:
+                yield from emit(held)
+                held, size = [], 0
+        if size:
             yield from emit(held)
-            held, size = [], 0
-    if held:
-        yield from emit(held)
-
-
-def _partial_batch(columns: list[list]) -> pa.RecordBatch:
-    n = len(columns[0])
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*columns, [None] * n, [None] * n], _PARTIAL_ARROW)], schema=_PARTIAL_ARROW)
-
-
-def _add_partials(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add the partials of each kind and block; input is sorted by both, one running sum is held."""
-    key, running = None, Sliced()
-    for batch in it:
-        columns: list[list] = [[] for _ in range(7)]
-        for block, kind, *parts in zip(*(batch.column(i).to_pylist() for i in range(7))):
-            if (kind, block) != key:
-                if key is not None:
-                    for column, value in zip(columns, (key[1], key[0], *running.packed())):
-                        column.append(value)
-                key, running = (kind, block), Sliced()
-            running.add(*parts)
-        if columns[0]:
-            yield _partial_batch(columns)
-    if key is not None:
-        yield _partial_batch([[v] for v in (key[1], key[0], *running.packed())])
-
-
-def _decode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entity rows of each block; input is sorted by block, a block's entities before its kinds."""
-
-    def rows(entities: dict[int, str | None], sums: list[tuple[str, Sliced]]) -> pa.RecordBatch:
-        present = np.array(sorted(entities), np.int64)
-        names, ordinal, kind, count, latest, total = [], [], [], [], [], []
-        for i, (name, s) in enumerate(sums):
-            names.append(name)
-            counts = values_of(s.counts)
+
+    return run
+
+
+class _Block:
+    """Entities and kinds of one block with their numbers."""
+
+    def __init__(self, flush: int) -> None:
+        self.entities: dict[str | None, int] = {}
+        self.kinds: dict[str, int] = {}
+        self.sums: list[Sliced] = []
+        self.held: list[dict[str, np.ndarray]] = []
+        self.size, self.most = 0, flush
+
+    def add(self, entities: list[str | None], kinds: list[str], cells: list[bytes]) -> None:
+        n = int.from_bytes(cells[0], "little")
+        part = {name: _unpacked(data, n) for name, data in zip(_ARRAYS, cells[1:])}
+        for name, known, words in (("ordinal", self.entities, entities), ("kind", self.kinds, kinds)):
+            codes = np.array([known.setdefault(w, len(known)) for w in words], np.int64)
+            part[name] = codes[part[name]] if n else part[name]
+        self.held.append(part)
+        self.size += n
+        if self.size >= self.most:
+            self.flush()
+
+    def flush(self) -> None:
+        self.sums += [Sliced() for _ in range(len(self.kinds) - len(self.sums))]
+        if not self.size:
+            return
+        cells = _add_up({name: np.concatenate([p[name] for p in self.held]) for name in _ARRAYS}, "kind", "ordinal")
+        first = np.flatnonzero(np.r_[True, np.diff(cells["kind"]) != 0])
+        for a, b in zip(first, np.append(first[1:], len(cells["kind"]))):
+            self.sums[cells["kind"][a]].add(cells["ordinal"][a:b], {name: cells[name][a:b] for name in _ARRAYS[2:]})
+        self.held, self.size = [], 0
+
+    def rows(self) -> pa.RecordBatch:
+        self.flush()
+        width = len(self.entities)
+        ordinal, kind, count, latest, total = [], [], [], [], []
+        for i, s in enumerate(self.sums):
+            counts = s.values("count", width)
             at = np.flatnonzero(counts)
             ordinal.append(at)
             kind.append(np.full(len(at), i))
             count.append(counts[at])
             latest.append(s.latest[at])
-            total.append((values_of(s.plus)[at] - values_of(s.minus)[at]) / UNIT)
-        cat = lambda parts, kind_: np.concatenate(parts) if parts else np.empty(0, kind_)
+            total.append((s.values("plus", width)[at] - s.values("minus", width)[at]) / UNIT)
+        cat = lambda parts, kind_: np.concatenate(parts).astype(kind_) if parts else np.empty(0, kind_)
         ordinal, kind, count, latest, total = (cat(p, t) for p, t in ((ordinal, np.int64), (kind, np.int64), (count, np.int64), (latest, np.int64), (total, np.float64)))
         order = np.lexsort((kind, ordinal))
         ordinal, kind, count, latest, total = ordinal[order], kind[order], count[order], latest[order], total[order]
-        offsets = pa.array(np.append(np.searchsorted(ordinal, present), len(ordinal)).astype(np.int32))
-        keys = pa.array(names, pa.string()).take(pa.array(kind))
+        offsets = pa.array(np.searchsorted(ordinal, np.arange(width + 1)).astype(np.int32))
+        keys = pa.array(list(self.kinds), pa.string()).take(pa.array(kind))
         maps = [pa.MapArray.from_arrays(offsets, keys, values) for values in (pa.array(count), pa.array(latest, mask=latest == _NO_TIME), pa.array(total))]
-        return pa.RecordBatch.from_arrays([pa.array([entities[i] for i in present.tolist()], pa.string()), *maps], ["entity", "counts", "latest_us", "totals"])
-
-    block, entities, sums = None, {}, []
-    for batch in it:
-        for b, kind, counts, plus, minus, ordinals, latest, entity, ordinal in zip(*(batch.column(i).to_pylist() for i in range(9))):
-            if b != block:
-                if entities:
-                    yield rows(entities, sums)
-                block, entities, sums = b, {}, []
-            if kind is None:
-                entities[ordinal] = entity
-            else:
-                if not sums or sums[-1][0] != kind:
-                    sums.append((kind, Sliced()))
-                sums[-1][1].add(counts, plus, minus, ordinals, latest)
-    if entities:
-        yield rows(entities, sums)
-
-
-def entity_ordinals(events: DataFrame) -> DataFrame:
-    """``entity, block, ordinal`` of each distinct entity, null included.
-
-    Entities are hashed to a fixed number of partitions and sorted there, so numbering is the same
-    however often a lost partition is computed again.
-    """
-    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    number = F.monotonically_increasing_id()
-    numbered = events.select("entity").distinct().repartition(n, "entity").sortWithinPartitions("entity").withColumn("number", number)
-    within = F.col("number").bitwiseAND(2**33 - 1)
-    block = F.shiftright("number", 33) * (2**33 // BLOCK) + F.floor(within / BLOCK)
-    return numbered.select("entity", block.cast("long").alias("block"), (within % BLOCK).cast("int").alias("ordinal"))
+        return pa.RecordBatch.from_arrays([pa.array(list(self.entities), pa.string()), *maps], ["entity", "counts", "latest_us", "totals"])
+
+
+def _accumulate(flush: int):
+    """Entity rows of each block; input is sorted by block, one block is held."""
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, block = None, _Block(flush)
+        for batch in it:
+            for at, *parts in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != number:
+                    if block.entities:
+                        yield block.rows()
+                    number, block = at, _Block(flush)
+                block.add(*parts)
+        if block.entities:
+            yield block.rows()
 
-def feature_rows(events: DataFrame) -> DataFrame:
+    return run
+
+
+def feature_rows(events: DataFrame, chunk: int = CHUNK_ROWS, flush: int = FLUSH_CELLS) -> DataFrame:
     """``entity, counts, latest_us, totals`` of ``events(entity, kinds array<string>, weight double, at_us long)``.
 
     The three maps are keyed by kind; a kind appears where the entity has at least one such event.
     An event counts once for each kind it lists; null and repeated kinds in one event are ignored.
-    A null, infinite or undefined weight adds nothing; weights are exact to one in :data:`UNIT`. The
-    latest time of a kind without a readable time is null. A null entity is an entity of its own,
-    and one whose events list no kind has empty maps. Repeated rows count. Empty input gives no rows.
+    A null, infinite or undefined weight adds nothing, nor does one of ``2**62 / UNIT`` or more; weights
+    are rounded to one in :data:`UNIT` and added exactly. The latest time of a kind without a readable
+    time is null. A null entity is an entity of its own, and one whose events list no kind has empty
+    maps. Repeated rows count. Empty input gives no rows.
+
+    The number of blocks follows from an estimate of the number of entities, for which their column is read once.
     """
     weight = F.when(F.abs("weight") < 2.0**62 / UNIT, F.round(F.col("weight") * UNIT).cast("long"))
+    entity = F.col("entity").cast("string")
+    estimate = events.agg(F.approx_count_distinct(entity)).first()[0]
+    blocks = estimate // BLOCK + 1
     narrow = events.select(
-        F.col("entity").cast("string").alias("entity"),
+        F.pmod(F.xxhash64(entity), F.lit(blocks)).alias("block"),
+        entity.alias("entity"),
         F.array_distinct(F.array_compact(F.coalesce("kinds", F.array().cast("array<string>")))).alias("kinds"),
         F.coalesce(weight, F.lit(0)).alias("units"),
         F.coalesce("at_us", F.lit(_NO_TIME)).alias("at_us"),
     )
-    ordinals = entity_ordinals(narrow)
-    numbered = narrow.join(ordinals.withColumnRenamed("entity", "known"), F.col("entity").eqNullSafe(F.col("known")))
-    partial = numbered.select("block", "ordinal", "units", "at_us", "kinds").mapInArrow(_partials, _PARTIAL)
-    added = partial.repartition("kind", "block").sortWithinPartitions("kind", "block").mapInArrow(_add_partials, _PARTIAL)
-    nulls = [F.lit(None).cast("binary").alias(c) for c in ("counts", "plus", "minus", "ordinals", "latest")]
-    known = ordinals.select("block", F.lit(None).cast("string").alias("kind"), *nulls, "entity", "ordinal")
-    return added.unionByName(known).repartition("block").sortWithinPartitions("block", F.asc_nulls_first("kind")).mapInArrow(_decode, _ROWS)
+    cells = narrow.mapInArrow(_combine(chunk), _CHUNK)
+    return cells.repartition("block").sortWithinPartitions("block").mapInArrow(_accumulate(flush), _ROWS)
 
 
 def profile_event_kinds(profile_events: DataFrame) -> DataFrame:

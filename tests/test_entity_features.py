@@ -9,8 +9,9 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from studyloom.operators.entity_features import BLOCK, carry_add, feature_rows, learner_features, pack, slices_of, unpack, values_of
+from studyloom.operators.entity_features import carry_add, feature_rows, learner_features, pack, slices_of, unpack, values_of
 
+BLOCK = 4096
 pairs = st.dictionaries(st.integers(0, BLOCK - 1), st.integers(0, 2**40), max_size=30)
 
 
@@ -27,14 +28,15 @@ def test_carry_addition_adds_all_entities_at_once(a, b):
     for d in (a, b):
         for k, v in d.items():
             want[k] += v
-    assert (values_of(x) == want).all()
+    assert (values_of(x, BLOCK) == want).all()
     assert unpack(pack(x)) == x
 
 
 def test_full_blocks_are_stored_as_bitmaps():
     x = slices_of(np.arange(BLOCK), np.full(BLOCK, 5))
-    assert (values_of(unpack(pack(x))) == 5).all()
-    assert len(pack(x)) < 4 * BLOCK // 8 + 16
+    assert (values_of(unpack(pack(x)), BLOCK) == 5).all()
+    assert sum(len(data) for _, data in pack(x)) <= 3 * BLOCK // 8
+    assert sum(len(data) for _, data in pack(slices_of(np.array([7, BLOCK - 1]), np.array([1, 1])))) == 8
 
 
 def test_against_plain_sums(spark):
@@ -53,7 +55,7 @@ def test_against_plain_sums(spark):
             want[entity][kind] = (n + 1, at if t is None or at is not None and at > t else t, w + usable)
     df = spark.createDataFrame(events, "entity string, kinds array<string>, weight double, at_us long").repartition(5)
     got = {}
-    for r in feature_rows(df).collect():
+    for r in feature_rows(df, chunk=100, flush=50).collect():
         assert r.entity not in got
         got[r.entity] = {k: (r.counts[k], r.latest_us[k], round(r.totals[k], 6)) for k in r.counts}
     assert got == {e: {k: (n, t, round(w, 6)) for k, (n, t, w) in v.items()} for e, v in want.items()}
@@ -66,6 +68,12 @@ def test_many_entities_span_blocks(spark):
     assert out.selectExpr("sum(counts['k'])", "sum(totals['k'])", "max(latest_us['k'])").first()[:] == (20_000, 30_000.0, 19_999)
 
 
+def test_totals_past_the_range_of_a_long_are_kept(spark):
+    df = spark.range(200).selectExpr("'e' entity", "array('k') kinds", "4e12D + id weight", "id at_us").repartition(3)
+    for chunk, flush in ((10**6, 10**6), (20, 5)):
+        assert feature_rows(df, chunk, flush).first().totals["k"] == 200 * 4e12 + 199 * 100
+
+
 def test_empty_and_spellings(spark):
     schema = "student_id string, tag string, subtype string, weight double, ts string, entity string, kinds int"
     assert learner_features(spark.createDataFrame([], schema)).collect() == []
