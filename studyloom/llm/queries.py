@@ -24,6 +24,11 @@ _RUNS = f"""
   from n group by student_id, tag, task, island having count(*) > 1"""
 
 
+def secret(spark: SparkSession) -> bytes:
+    """The key of replacements, from the setting ``spark.studyloom.secret``; a known one, for tests alone, where it is unset."""
+    return spark.conf.get("spark.studyloom.secret", "for tests alone").encode()
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return truncated_rows(table(spark, folder, "profile_events"), "rec_id", "channel", "task_text")
 
@@ -59,12 +64,12 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return personal_items(table(spark, folder, "documents"), "doc_id", "text")
+    return personal_items(table(spark, folder, "documents"), "doc_id", "text", secret(spark))
 
 
 def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts with typed placeholders; a production run passes its own secret."""
-    return redact_texts(table(spark, folder, "documents"), "doc_id", "text", b"studyloom")
+    """Texts with typed placeholders."""
+    return redact_texts(table(spark, folder, "documents"), "doc_id", "text", secret(spark))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
