@@ -1,20 +1,23 @@
 """Mixing sources to target shares of all tokens.
 
-1. A classifier is fitted on the labelled documents (those with a source): smoothed word counts of
-   each domain over hashed words, from all of them. It gives every labelled document the posterior
-   over domains, a soft membership.
+1. A classifier is fitted on a bounded sample of labelled documents (those with a source): smoothed
+   counts of tokens and pairs of tokens for each domain. Every document, with a source or without, gets a posterior over
+   domains, a soft membership, from the same tokens that are counted for its size.
 2. Nonnegative rates, how often a document is taken in expectation, are fitted by projected gradient
    least squares. Two sets of totals must match the targets: expected tokens of each domain under
    the soft membership, and tokens of each recorded source, which weigh more and are matched
-   exactly in the end. Documents of one source and (rounded) posterior share a rate, so an iteration
-   is one small distributed sum over groups; every task replays the projected steps from the
-   gradients so far.
+   exactly in the end. Recorded sources say how much of each source there is; the soft membership decides which of
+   a source's documents are taken more often, so that the mix also reads as the targets ask. Documents of one
+   source and (rounded) posterior share a rate, so an iteration is one small distributed sum over
+   groups; every task replays the projected steps from the gradients so far.
 3. Rates become whole numbers of copies by a keyed hash; a threshold for each source, found from
    histograms of a fixed size, brings its tokens to the target within about one document.
 
 Documents without a source or of a source that isn't listed have rate 0, since every token of the
-mix has to belong to a listed source. The mix is as large as the scarcest listed source allows
-when each of its documents is taken ``max_repeats`` times, unless a smaller size is asked for.
+mix has to belong to a listed source; how many tokens of them read like each source is reported. The mix
+is as large as the scarcest listed source allows when each of its documents is taken ``max_repeats``
+times, unless a smaller size is asked for. Listed sources are a setting and are read on the driver; what
+grows with the documents isn't.
 """
 
 from __future__ import annotations
@@ -24,29 +27,30 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from zlib import crc32
 
 from studyloom.llm.tokens import TOKENIZERS, tokenizer
 from studyloom.staging import stage
 
-#: Hashed words of the classifier.
-WIDTH = 4096
+#: Bounds of the sample that the classifier is fitted on: documents, and their longest length in characters. They bound the model's size too.
+SAMPLE_TEXTS, SAMPLE_CHARS = 20_000, 4_000
+#: Hashed pairs of neighbouring tokens.
+PAIRS = 1 << 18
+#: Occurrences that the whole sample adds to each domain, and the number of features that a document's evidence counts for at most.
+SMOOTH, SHARPNESS = 300.0, 40.0
 #: Posteriors are rounded to this many equal steps.
 STEPS = 10
 #: Weight of recorded sources against soft domains while fitting.
-RECORDED = 4.0
-#: Iterations with both sets of totals, and then with recorded sources alone.
-BOTH_ROUNDS, LAST_ROUNDS = 16, 10
+RECORDED = 2.0
+#: Iterations with both sets of totals, and at most as many with recorded sources alone; these end when shares are within ``CLOSE``.
+BOTH_ROUNDS, LAST_ROUNDS, CLOSE = 16, 10, 1e-6
 #: Bins of the histograms that thresholds are found from.
 BINS = 2048
 #: Rounds that fill what long documents leave open.
 FILL_ROUNDS = 4
-#: Most sources that may be listed; the targets are handled on the driver.
-MOST_SOURCES = 10_000
-_WORD = regex.compile(r"\w+")
+#: Cells of a table of documents by domains that a task fills at once.
+CELLS = 2_000_000
 
 
 class Targets(NamedTuple):
@@ -62,11 +66,8 @@ def read_targets(targets: DataFrame) -> Targets:
         .groupBy("source")
         .agg(F.max(F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0))).alias("share"), F.min(F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0))).alias("repeats"))
         .orderBy("source")
-        .limit(MOST_SOURCES + 1)
         .collect()
     )
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources are listed")
     shares = np.array([r.share for r in rows], float)
     return Targets([r.source for r in rows], shares / (shares.sum() or 1.0), np.array([r.repeats for r in rows], float))
 
@@ -74,142 +75,200 @@ def read_targets(targets: DataFrame) -> Targets:
 # --- classifier ---
 
 
-def _words(text: str) -> np.ndarray:
-    found = _WORD.findall(text.lower())
-    return np.fromiter((crc32(w.encode("utf-8", "replace")) % WIDTH for w in found), np.int64, len(found))
+def features_of(ids: np.ndarray, vocabulary: int) -> np.ndarray:
+    """Features of a document's token ids: the ids, and behind them hashed pairs of neighbours."""
+    ids = np.asarray(ids, np.int64)
+    return np.concatenate([ids, vocabulary + (ids[:-1] * 1_000_003 + ids[1:]) % PAIRS])
 
 
 class Classifier:
-    """Posteriors over domains from log probabilities of hashed words; evidence is an average over words, times ``sharpness``."""
-
-    def __init__(self, counts: np.ndarray, sharpness: float = 40.0):
-        smooth = counts + 0.5
-        self.log = np.log(smooth / smooth.sum(axis=1, keepdims=True))
-        weights = counts.sum(axis=1) + 1
-        self.base = np.log(weights / weights.sum())
-        self.sharpness = sharpness
-
-    def posterior(self, text: str | None) -> np.ndarray:
-        words = _words(text) if text else np.empty(0, np.int64)
-        score = self.base.copy()
-        if len(words):
-            seen, n = np.unique(words, return_counts=True)
-            score = score + self.log[:, seen] @ n / len(words) * min(self.sharpness, len(words))
-        p = np.exp(score - score.max())
-        return p / p.sum()
-
-
-def fit_classifier(documents: DataFrame, domains: list[str]) -> Classifier:
-    """Word counts of each domain over all labelled documents; the last domain holds every unlisted source."""
-    width = len(domains) + 1
-    place = {name: i for i, name in enumerate(domains)}
+    """Posteriors over domains from log probabilities of features, which each domain has in common with the whole sample
+    where it lacks its own (Dirichlet smoothing). Evidence is an average over features, times at most :data:`SHARPNESS`.
+
+    Only features and domains that occur together in the sample are held. Domains are places of listed sources; the place
+    after the last stands for all other sources.
+    """
+
+    def __init__(self, feature: np.ndarray, domain: np.ndarray, count: np.ndarray, documents: dict[int, int], vocabulary: int):
+        self.vocabulary, width = vocabulary, vocabulary + PAIRS
+        self.domains = np.array(sorted(documents), np.int64)
+        code = np.searchsorted(self.domains, domain)
+        order = np.argsort(feature, kind="stable")
+        self.code = code[order].astype(np.int32)
+        usual = np.bincount(feature, count, width) + 0.1
+        self.gain = np.log1p(count[order] / (SMOOTH * usual[feature[order]] / usual.sum()))
+        self.first = np.searchsorted(feature[order], np.arange(width + 1))
+        self.unseen = np.log(SMOOTH / (np.bincount(code, count, len(self.domains)) + SMOOTH))
+        self.base = np.log(np.array([documents[int(d)] for d in self.domains], float) / max(1, sum(documents.values())))
+
+    def posteriors(self, ids: list[np.ndarray]) -> np.ndarray:
+        """Posteriors of documents by their token ids; columns as in :attr:`domains`."""
+        width = len(self.domains)
+        each = [features_of(i, self.vocabulary) for i in ids]
+        sizes = np.array([len(f) for f in each], np.int64)
+        features = np.concatenate(each) if each else np.empty(0, np.int64)
+        begin, n = self.first[features], self.first[features + 1] - self.first[features]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
+        document = np.repeat(np.repeat(np.arange(len(sizes)), sizes), n)
+        scores = np.bincount(document * width + self.code[at], self.gain[at], len(sizes) * width).reshape(-1, width)
+        scores = scores / np.maximum(sizes, 1)[:, None] + self.unseen
+        scores = self.base + scores * np.minimum(SHARPNESS, sizes)[:, None]
+        p = np.exp(scores - scores.max(axis=1, keepdims=True)) if width else scores
+        return p / p.sum(axis=1, keepdims=True)
+
+    def most_likely(self, ids: list[np.ndarray]) -> list[int]:
+        return self.domains[self.posteriors(ids).argmax(axis=1)].tolist()
+
+
+def _placed(names: list[str], source: Column) -> Column:
+    """Place of a listed source, and the place after the last for another one."""
+    listed = F.create_map(*(F.lit(x) for i, n in enumerate(names) for x in (n, i))) if names else F.create_map().cast("map<string,int>")
+    return F.coalesce(listed[source], F.lit(len(names)))
+
+
+def fit_classifier(documents: DataFrame, domains: list[str], name: str = "byte_bpe_50k", folder: str = TOKENIZERS, n_texts: int = SAMPLE_TEXTS, n_chars: int = SAMPLE_CHARS) -> Classifier:
+    """Token counts of each domain over about ``n_texts`` labelled documents of at most ``n_chars`` characters, chosen by a hash of ``doc_id``."""
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((width, WIDTH), np.int64)
+        encoder = tokenizer(name, folder)
         for batch in it:
-            for source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                np.add.at(total[place.get(source, width - 1)], _words(text), 1)
-        where = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(total.ravel()[where])], ["cell", "n"])
+            each = [features_of(encoder.encode(t), encoder.size) for t in batch.column(1).to_pylist()]
+            place = np.repeat(batch.column(0).to_numpy().astype(np.int64), [len(f) for f in each])
+            cell, n = np.unique(place * (encoder.size + PAIRS) + (np.concatenate(each) if each else np.empty(0, np.int64)), return_counts=True)
+            own, documents = np.unique(batch.column(0).to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(cell, -1 - own.astype(np.int64))), pa.array(np.append(n, documents).astype(np.int64))], ["cell", "n"])
+
+    labelled = documents.where("source is not null and text is not null").where(F.length("text").between(1, n_chars))
+    share = max(1, labelled.count() // n_texts)
+    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select(_placed(domains, F.col("source").cast("string")).alias("place"), F.col("text").cast("string").alias("text")).limit(2 * n_texts)
+    # At most one row for each different feature of a domain in the sample.
+    cells = sample.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cell, n, size = cells.cell.to_numpy(np.int64), cells.n.to_numpy(np.int64), tokenizer(name, folder).size
+    own, width = cell < 0, size + PAIRS
+    return Classifier(cell[~own] % width, cell[~own] // width, n[~own].astype(float), dict(zip((-1 - cell[own]).tolist(), n[own].tolist())), size)
+
 
-    labelled = documents.where("source is not null and text is not null").select("source", "text")
-    # At most one row for each domain and hashed word: a fixed number.
-    cells = labelled.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(width * WIDTH)
-    counts[cells.cell.to_numpy(np.int64)] = cells.n.to_numpy(float)
-    return Classifier(counts.reshape(width, WIDTH))
+_SOFT = pa.list_(pa.struct([("place", pa.int32()), ("n", pa.int32())]))
 
 
 def described(documents: DataFrame, classifier: Classifier, name: str, folder: str) -> DataFrame:
-    """``doc_id, source, n_tokens, soft`` with the posterior over domains in steps of 1/:data:`STEPS`."""
+    """``doc_id, source, n_tokens, soft`` with the posterior over domains in steps of 1/:data:`STEPS`, without those of 0."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokenizer(name, folder)
-        for batch in it:
-            texts = batch.column(2).to_pylist()
-            tokens = [encoder.count(t) for t in texts]
-            soft = [np.rint(classifier.posterior(t) * STEPS).astype(np.int32).tolist() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.int64()), pa.array(soft, pa.list_(pa.int32()))], ["doc_id", "source", "n_tokens", "soft"])
+        encoder, domains = tokenizer(name, folder), classifier.domains.astype(np.int32)
+        some = max(1, CELLS // max(1, len(domains)) // 64)
+        for whole in it:
+            for at in range(0, whole.num_rows, some):
+                batch = whole.slice(at, some)
+                ids = [np.asarray(encoder.encode(t), np.int32) for t in batch.column(2).to_pylist()]
+                sizes = np.array([len(i) for i in ids], np.int64)
+                soft = np.rint(classifier.posteriors(ids) * STEPS).astype(np.int32)
+                row, column = np.nonzero(soft)
+                offsets = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
+                cells = pa.StructArray.from_arrays([pa.array(domains[column]), pa.array(soft[row, column])], fields=list(_SOFT.value_type))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.ListArray.from_arrays(offsets, cells)], ["doc_id", "source", "n_tokens", "soft"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, source string, n_tokens long, soft array<int>")
+    return documents.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, source string, n_tokens long, soft array<struct<place: int, n: int>>")
 
 
 # --- rates ---
 
 
 class Steps(NamedTuple):
-    """All that a task needs to replay the projected gradient."""
+    """All that a task needs to replay the projected gradient; a few numbers for each listed source."""
 
     names: list[str]
     caps: np.ndarray
     supply: np.ndarray  # tokens of each recorded source over the size of the mix
+    soft_supply: np.ndarray  # and of each soft domain
     start: np.ndarray
     soft: list[np.ndarray]  # gradient of each round over soft domains
     hard: list[np.ndarray]  # and over recorded sources
     weights: list[tuple[float, float]]
 
-    def rates(self, source: np.ndarray, membership: np.ndarray) -> np.ndarray:
-        r, cap, supply = self.start[source], self.caps[source], self.supply[source]
-        for soft, hard, (a, b) in zip(self.soft, self.hard, self.weights):
-            r = np.clip(r - (a * (membership @ soft) + b * hard[source]) / ((a + b) * supply), 0, cap)
-        return r
+    def rates(self, source: np.ndarray, member: Membership, ahead: bool = False) -> np.ndarray:
+        """Rates after the rounds so far; with ``ahead``, where the next gradient is taken (steps are carried on by momentum while both sets are fitted)."""
+        r = y = self.start[source]
+        cap, supply = self.caps[source], self.supply[source]
+        like = member.times(self.soft_supply) if self.soft else supply
+        for k, (soft, hard, (a, b)) in enumerate(zip(self.soft, self.hard, self.weights)):
+            new = np.clip(y - (a * member.times(soft) + b * hard[source]) / (a * like + b * supply), 0, cap)
+            y = new + (k + 1) / (k + 4) * (new - r) if a and k + 1 < BOTH_ROUNDS else new
+            r = new
+        return y if ahead else r
+
+
+class Membership:
+    """Posteriors of rows, as shares of the places that aren't 0."""
+
+    def __init__(self, soft: pa.Array):
+        sizes = np.diff(soft.offsets.to_numpy())
+        cells = soft.flatten()
+        self.n, self.row = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+        self.place = cells.field(0).to_numpy().astype(np.int64)
+        share = cells.field(1).to_numpy().astype(float)
+        self.share = share / np.maximum(np.bincount(self.row, share, self.n), 1)[self.row]
 
+    def times(self, of_place: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.share * of_place[self.place], self.n)
 
-def _membership(soft: pa.Array) -> np.ndarray:
-    rows = np.array(soft.to_pylist(), float)
-    rows = rows.reshape(len(soft), -1)
-    return rows / np.maximum(rows.sum(axis=1, keepdims=True), 1)
+    def totals(self, of_row: np.ndarray, width: int) -> np.ndarray:
+        return np.bincount(self.place, self.share * of_row[self.row], width)
 
 
 def _rate_batches(steps: Steps):
-    """Replace ``soft`` by the rate in batches of ``..., source, soft``."""
+    """Append the rate to batches of ``doc_id, source, n_tokens, soft``."""
     place = {n: i for i, n in enumerate(steps.names)}
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            rates = np.empty(0)
-            if batch.num_rows:
-                source = np.array([place[s] for s in batch.column("source").to_pylist()])
-                rates = steps.rates(source, _membership(batch.column("soft")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("n_tokens"), batch.column("soft"), pa.array(rates, pa.float64())], ["doc_id", "source", "n_tokens", "soft", "rate"])
+            source = np.array([place[s] for s in batch.column("source").to_pylist()], np.int64)
+            rates = steps.rates(source, Membership(batch.column("soft"))) if batch.num_rows else np.empty(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates, pa.float64())], ["doc_id", "source", "n_tokens", "soft", "rate"])
 
     return run
 
 
-def _totals(groups: DataFrame, steps: Steps, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of each soft domain and each recorded source at the present rates."""
+def _totals(groups: DataFrame, steps: Steps) -> np.ndarray:
+    """At the present rates, four rows with a number for each place: tokens by soft domain and by recorded source, and
+    the tokens of each source's documents whose rates can still rise, and can fall.
+    """
     place = {n: i for i, n in enumerate(steps.names)}
+    width = len(place) + 1
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        soft, hard = np.zeros(width), np.zeros(len(place))
+        sums = np.zeros((4, width))
         for batch in it:
             if not batch.num_rows:
                 continue
-            source = np.array([place[s] for s in batch.column(0).to_pylist()])
-            member = _membership(batch.column(1))
-            tokens = steps.rates(source, member) * batch.column(2).to_numpy()
-            soft += member.T @ tokens
-            np.add.at(hard, source, tokens)
-        yield pa.RecordBatch.from_arrays([pa.array([soft.tolist()], pa.list_(pa.float64())), pa.array([hard.tolist()], pa.list_(pa.float64()))], ["soft", "hard"])
+            source = np.array([place[s] for s in batch.column(0).to_pylist()], np.int64)
+            member = Membership(batch.column(1))
+            rates, tokens = steps.rates(source, member, ahead=True), batch.column(2).to_numpy()
+            sums[0] += member.totals(rates * tokens, width)
+            for row, weight in ((1, rates), (2, rates < steps.caps[source]), (3, rates > 0)):
+                sums[row] += np.bincount(source, weight * tokens, width)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), *map(pa.array, sums)], ["place", "soft", "hard", "up", "down"])
 
-    parts = groups.mapInArrow(run, "soft array<double>, hard array<double>")
-    sums = [F.array(*(F.sum(F.col(c)[i]) for i in range(n))).alias(c) for c, n in (("soft", width), ("hard", len(place)))]
-    row = parts.agg(*sums).first()
-    return np.array(row.soft, float), np.array(row.hard, float)
+    rows = groups.mapInArrow(run, "place long, soft double, hard double, up double, down double").groupBy("place").sum("soft", "hard", "up", "down").collect()  # one row a listed source
+    out = np.zeros((4, width))
+    for at, *sums in rows:
+        out[:, at] = sums
+    return out
 
 
 def fit_rates(groups: DataFrame, targets: Targets, total_tokens: float | None = None) -> tuple[Steps, float, np.ndarray]:
-    """Projected gradient over ``groups(source, soft, n_tokens)``: the steps, the size of the mix, and the shares aimed at.
+    """Projected gradient over ``groups(source, soft, n_tokens)`` of listed sources: the steps, the size of the mix, and the shares aimed at.
 
     Shares of sources without tokens or repeats are given to the others in proportion.
     """
-    width = len(targets.names) + 1
-    have = {r.source: float(r.n) for r in groups.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}  # listed sources only
-    tokens = np.array([have.get(n, 0.0) for n in targets.names])
+    ones = np.ones(len(targets.names))
+    every = Steps(targets.names, ones, ones, ones, ones, [], [], [])
+    soft_tokens, tokens = _totals(groups, every)[:2]
+    tokens = tokens[:-1]
     usable = (tokens * targets.repeats > 0) & (targets.shares > 0)
     if not usable.any():
-        return Steps(targets.names, targets.repeats, np.ones(len(tokens)), np.zeros(len(tokens)), [], [], []), 0.0, np.zeros(len(tokens))
+        return every._replace(start=np.zeros(len(tokens))), 0.0, np.zeros(len(tokens))
     aim = np.where(usable, targets.shares, 0.0)
     aim = aim / aim.sum()
     size = float(np.min(tokens[usable] * targets.repeats[usable] / aim[usable]))
@@ -217,16 +276,17 @@ def fit_rates(groups: DataFrame, targets: Targets, total_tokens: float | None =
     supply = np.where(usable, tokens / size, 1.0)
     caps = np.where(usable, targets.repeats, 0.0)
     start = np.where(usable, np.minimum(np.minimum(1.0, caps), aim / supply), 0.0)
-    steps = Steps(targets.names, caps, supply, start, [], [], [])
+    steps = Steps(targets.names, caps, supply, soft_tokens / size, start, [], [], [])
     wanted = np.append(aim, 0.0)
     for k in range(BOTH_ROUNDS + LAST_ROUNDS):
-        soft, hard = _totals(groups, steps, width)
+        soft, hard, up, down = _totals(groups, steps) / size
         both = k < BOTH_ROUNDS
-        off = hard / size - aim
-        if not both and np.abs(off).max() < 1e-9:
+        off = hard[:-1] - aim
+        if not both and np.abs(off).max() < CLOSE:
             break
-        steps.soft.append(soft / size - wanted)
-        steps.hard.append(off)
+        free = np.where(off < 0, up[:-1], down[:-1])  # what a step moves, once other rates are at their bounds
+        steps.soft.append(soft - wanted)
+        steps.hard.append(off if both else off * supply / np.maximum(free, 1e-12))
         steps.weights.append((1.0, RECORDED) if both else (0.0, 1.0))
     return steps, size, aim
 
@@ -238,56 +298,55 @@ def _uniform(seed: int) -> Column:
     return (F.xxhash64("doc_id", F.lit(seed)).bitwiseAND(2**52 - 1) + 0.5) / 2.0**52
 
 
-def _threshold(rated: DataFrame, wanted: dict[str, float], nearest: bool) -> tuple[dict[str, float], dict[str, float]]:
-    """For each source a score below which documents have together up to ``wanted`` tokens (or come nearest), and what is left.
+def _histogram(rated: DataFrame, edges: DataFrame) -> DataFrame:
+    """Of ``edges(source, low, high, wanted)``, the bin of each source in which its tokens pass ``wanted``: ``source, low, step, bin, n, wanted, before, every``.
+
+    ``bin`` is null where they never do. A source has at most :data:`BINS` bins, so the window is short.
+    """
+    e = edges.select(F.col("source").alias("e_"), "low", "high")
+    inside = rated.join(e, F.col("source") == F.col("e_")).where("score >= low and score < high")
+    place = F.least(F.floor((F.col("score") - F.col("low")) / (F.col("high") - F.col("low")) * BINS), F.lit(BINS - 1)).cast("int")
+    bins = inside.groupBy("source", place.alias("bin")).agg(F.sum("n_tokens").alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("source").orderBy("bin"))
+    summed = bins.withColumn("so_far", so_far).join(edges.select(F.col("source").alias("w_"), "wanted"), F.col("source") == F.col("w_"))
+    passing = F.when(F.col("so_far") > F.col("wanted"), F.struct("bin", "n", (F.col("so_far") - F.col("n")).alias("before")))
+    found = summed.groupBy("source").agg(F.min(passing).alias("at"), F.sum("n").alias("every")).withColumnRenamed("source", "s_")
+    return edges.join(found, F.col("source") == F.col("s_"), "left").select("source", "low", ((F.col("high") - F.col("low")) / BINS).alias("step"), "at.bin", "at.n", "wanted", "at.before", F.coalesce("every", F.lit(0)).alias("every"))
+
+
+def _threshold(rated: DataFrame, wanted: DataFrame, nearest: bool) -> DataFrame:
+    """For each ``source, wanted`` a score below which its documents have together up to ``wanted`` tokens (or come nearest): ``source, cut, wanted`` with what is left.
 
     Two histograms of :data:`BINS` bins for each source, the second inside one bin of the first.
     """
-    low, high = dict.fromkeys(wanted, 0.0), dict.fromkeys(wanted, 1.0)
-    left, cut = dict(wanted), dict.fromkeys(wanted, 1.0)
-    done: set[str] = set()
-    for last in (False, True):
-        edges = rated.sparkSession.createDataFrame([(s, low[s], high[s]) for s in wanted], "e_ string, low double, high double")
-        inside = rated.join(F.broadcast(edges), F.col("source") == F.col("e_")).where("score >= low and score < high")  # one row a listed source
-        place = F.least(F.floor((F.col("score") - F.col("low")) / (F.col("high") - F.col("low")) * BINS), F.lit(BINS - 1))
-        table: dict[str, list[tuple[int, float]]] = {}
-        for r in inside.groupBy("source", place.alias("bin")).agg(F.sum("n_tokens").alias("n")).collect():  # at most BINS rows a listed source
-            table.setdefault(r.source, []).append((r.bin, float(r.n)))
-        for s in wanted:
-            if s in done:
-                continue
-            step = (high[s] - low[s]) / BINS
-            for b, n in sorted(table.get(s, [])):
-                if n > left[s]:
-                    cut[s] = low[s] + b * step
-                    if last and nearest and n - left[s] < left[s]:
-                        cut[s], left[s] = cut[s] + step, left[s] - n
-                    low[s], high[s] = low[s] + b * step, low[s] + (b + 1) * step
-                    break
-                left[s] -= n
-            else:
-                cut[s] = high[s]
-                done.add(s)
-    return cut, left
-
-
-def _taken(rated: DataFrame, wanted: dict[str, float]) -> Column:
-    """Condition on ``source, score, n_tokens`` that picks documents for one more copy, so that each source comes to ``wanted`` tokens.
+    first = stage(_histogram(rated, wanted.select("source", F.lit(0.0).alias("low"), F.lit(1.0).alias("high"), "wanted")), "bins")
+    inner = first.where("bin is not null").select("source", (F.col("low") + F.col("bin") * F.col("step")).alias("low"), (F.col("low") + (F.col("bin") + 1) * F.col("step")).alias("high"), (F.col("wanted") - F.col("before")).alias("wanted"))
+    second = _histogram(rated, inner)
+    left = F.col("wanted") - F.coalesce("before", "every")
+    over = F.lit(nearest) & F.col("bin").isNotNull() & (F.col("n") - left < left)
+    at = F.coalesce("bin", F.lit(BINS)) + F.when(over, 1).otherwise(0)
+    cuts = second.select("source", (F.col("low") + at * F.col("step")).alias("cut"), F.when(over, left - F.col("n")).otherwise(left).alias("wanted"))
+    every = first.where("bin is null").select("source", F.lit(1.0).alias("cut"), (F.col("wanted") - F.col("every")).alias("wanted"))
+    return cuts.unionByName(every)
+
+
+def _taken(rated: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rated`` with ``extra``: whether a document with a ``score`` is taken once more, so that each source comes to ``wanted`` tokens.
 
     A long document at the threshold may leave a gap; later rounds fill it with shorter ones.
     """
-    spark, taken = rated.sparkSession, F.lit(False)
+    chosen = rated.withColumn("extra", F.lit(False))
     for k in range(FILL_ROUNDS):
-        gaps = {s: n for s, n in wanted.items() if n >= 1}
-        if not gaps:
+        fits = F.lit(True) if k == 0 else F.col("n_tokens") <= F.col("gap_")
+        gaps = wanted.where("wanted >= 1").select(F.col("source").alias("g_"), F.col("wanted").alias("gap_"))
+        open_ = chosen.where("not extra and score is not null").join(gaps, F.col("source") == F.col("g_")).where(fits)
+        cuts = stage(_threshold(open_.select("source", "score", "n_tokens"), wanted.where("wanted >= 1"), k + 1 == FILL_ROUNDS), "cuts")
+        limits = cuts.join(gaps, F.col("source") == F.col("g_")).select("g_", "gap_", "cut")
+        chosen = chosen.join(limits, F.col("source") == F.col("g_"), "left").withColumn("extra", F.col("extra") | F.coalesce(fits & (F.col("score") < F.col("cut")), F.lit(False))).drop("g_", "gap_", "cut")
+        wanted = cuts.select("source", "wanted")
+        if cuts.where("wanted >= 1").isEmpty():
             break
-        gap = F.create_map(*(x for s, n in gaps.items() for x in (F.lit(s), F.lit(n))))
-        fits = F.lit(True) if k == 0 else F.col("n_tokens") <= F.coalesce(gap[F.col("source")], F.lit(0.0))
-        cut, left = _threshold(rated.where(~taken & fits), gaps, k + 1 == FILL_ROUNDS)
-        bound = F.create_map(*(x for s, c in cut.items() for x in (F.lit(s), F.lit(c))))
-        taken = taken | (fits & (F.col("score") < F.coalesce(bound[F.col("source")], F.lit(0.0))))
-        wanted = left
-    return F.coalesce(taken, F.lit(False))
+    return chosen
 
 
 class Mix(NamedTuple):
@@ -307,37 +366,45 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: float |
     """
     spark = documents.sparkSession
     listed = read_targets(targets)
-    classifier = fit_classifier(documents, listed.names)
-    named = documents.where(F.col("source").isin(listed.names)) if listed.names else documents.where("false")
-    rows = stage(described(named, classifier, name, folder).where("n_tokens > 0"), "described")
-    groups = stage(rows.groupBy("source", "soft").agg(F.sum("n_tokens").alias("n_tokens")), "groups")
+    classifier = fit_classifier(documents, listed.names, name, folder)
+    rows = stage(described(documents, classifier, name, folder).where("n_tokens > 0"), "described")
+    own = spark.createDataFrame([(n,) for n in listed.names], "listed_ string")
+    named = rows.join(own, F.col("source") == F.col("listed_")).select("doc_id", "source", "n_tokens", "soft")
+    groups = stage(named.groupBy("source", "soft").agg(F.sum("n_tokens").alias("n_tokens")), "groups")
     steps, size, aim = fit_rates(groups, listed, total_tokens)
     kind = documents.schema["doc_id"].dataType.simpleString()
-    rated = rows.mapInArrow(_rate_batches(steps), f"doc_id {kind}, source string, n_tokens long, soft array<int>, rate double")
+    rated = named.mapInArrow(_rate_batches(steps), f"doc_id {kind}, source string, n_tokens long, soft array<struct<place: int, n: int>>, rate double")
     whole = F.floor(F.col("rate") + 1e-9)
     fraction = F.greatest(F.col("rate") - whole, F.lit(0.0))
     rated = rated.withColumn("whole", whole.cast("int")).withColumn("score", F.when(fraction > 1e-9, _uniform(seed) / (_uniform(seed) + fraction)))
-    rated = stage(rated, "rated")
-    sure = {r.source: float(r.n) for r in rated.groupBy("source").agg(F.sum(F.col("whole") * F.col("n_tokens")).alias("n")).collect()}
-    wanted = {s: max(0.0, a * size - sure.get(s, 0.0)) for s, a in zip(listed.names, aim)}
-    extra = _taken(rated.where("score is not null"), wanted)
-    taken = rated.withColumn("n_copies", F.col("whole") + extra.cast("int")).where("n_copies > 0")
-    shares = _shares(taken, listed, spark)
-    return Mix(taken.select("doc_id", "source", "n_copies", "n_tokens"), shares)
+    rated = stage(rated.drop("rate"), "rated")
+    aims = spark.createDataFrame([(n, float(a * size)) for n, a in zip(listed.names, aim)], "source string, aim double")
+    sure = rated.groupBy("source").agg(F.sum(F.col("whole") * F.col("n_tokens")).alias("sure")).withColumnRenamed("source", "s_")
+    wanted = stage(aims.join(sure, F.col("source") == F.col("s_"), "left").select("source", F.greatest(F.col("aim") - F.coalesce("sure", F.lit(0)), F.lit(0.0)).alias("wanted")), "wanted")
+    taken = _taken(rated, wanted).withColumn("n_copies", F.col("whole") + F.col("extra").cast("int")).where("n_copies > 0")
+    return Mix(taken.select("doc_id", "source", "n_copies", "n_tokens"), _shares(taken, rows.join(own, F.col("source") == F.col("listed_"), "left_anti"), listed, spark))
+
+
+def _soft_tokens(rows: DataFrame, tokens: Column, name: str) -> DataFrame:
+    """Tokens of each domain by soft membership: ``<name>_place, <name>``."""
+    every = F.greatest(F.aggregate("soft", F.lit(0), lambda a, x: a + x["n"]), F.lit(1))
+    cells = rows.select(tokens.alias("t"), every.alias("every"), F.explode("soft").alias("cell"))
+    return cells.groupBy(F.col("cell.place").alias(f"{name}_place")).agg(F.sum(F.col("t") * F.col("cell.n") / F.col("every")).alias(name))
 
 
-def _shares(taken: DataFrame, listed: Targets, spark) -> DataFrame:
-    """``source, target_share, actual_share, expected_share, n_documents, n_copies, n_tokens, most_copies``.
+def _shares(taken: DataFrame, others: DataFrame, listed: Targets, spark) -> DataFrame:
+    """``source, target_share, actual_share, expected_share, n_documents, n_copies, n_tokens, most_copies, unlisted_tokens``.
 
-    ``actual_share`` is of all tokens of the mix by recorded source, ``expected_share`` by soft membership.
+    ``actual_share`` is of all tokens of the mix by recorded source, ``expected_share`` by soft membership;
+    ``unlisted_tokens`` are tokens of documents without a listed source that read like this one.
     """
     tokens = (F.col("n_copies") * F.col("n_tokens")).alias("t")
     table = spark.createDataFrame([(n, i, float(s)) for i, (n, s) in enumerate(zip(listed.names, listed.shares))], "source string, place int, target_share double")
     hard = taken.select("source", "n_copies", tokens).groupBy("source").agg(F.count("*").alias("n_documents"), F.sum("n_copies").alias("n_copies"), F.sum("t").alias("n_tokens"), F.max("n_copies").alias("most_copies")).withColumnRenamed("source", "s_")
-    soft = taken.select(tokens, F.posexplode("soft").alias("place_", "p"), F.greatest(F.aggregate("soft", F.lit(0), lambda a, x: a + x), F.lit(1)).alias("all")).groupBy("place_").agg(F.sum(F.col("t") * F.col("p") / F.col("all")).alias("soft_tokens"))
+    soft, likely = _soft_tokens(taken, F.col("n_copies") * F.col("n_tokens"), "soft_tokens"), _soft_tokens(others, F.col("n_tokens"), "unlisted_tokens")
     every = taken.agg(F.sum(F.col("n_copies") * F.col("n_tokens")).alias("every"))
     zero = F.lit(0).cast("long")
-    joined = table.join(hard, F.col("source") == F.col("s_"), "left").join(soft, F.col("place") == F.col("place_"), "left").crossJoin(F.broadcast(every))  # one row
+    joined = table.join(hard, F.col("source") == F.col("s_"), "left").join(soft, F.col("place") == F.col("soft_tokens_place"), "left").join(likely, F.col("place") == F.col("unlisted_tokens_place"), "left").crossJoin(F.broadcast(every))  # one row
     return joined.select(
         "source",
         "target_share",
@@ -345,4 +412,5 @@ def _shares(taken: DataFrame, listed: Targets, spark) -> DataFrame:
         F.coalesce(F.col("soft_tokens") / F.col("every"), F.lit(0.0)).alias("expected_share"),
         *(F.coalesce(c, zero).alias(c) for c in ("n_documents", "n_copies", "n_tokens")),
         F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
+        F.round(F.coalesce("unlisted_tokens", F.lit(0.0))).cast("long").alias("unlisted_tokens"),
     )

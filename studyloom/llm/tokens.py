@@ -68,7 +68,9 @@ class Tokenizer:
         self.library = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.pattern, self._sure, self._sure_last = regex.compile(PATTERN), regex.compile(_SURE), regex.compile(f"(?r){_SURE}")
         self.token_bytes = {rank: token for token, rank in ranks.items()}
-        self._length = np.zeros(max(ranks.values()) + 1, np.int64)
+        #: Ids are below this.
+        self.size = max(ranks.values()) + 1
+        self._length = np.zeros(self.size, np.int64)
         self._length[list(ranks.values())] = [len(t) for t in ranks]
 
     # --- leaves ---
