@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from studyloom.staging import stage
@@ -241,7 +241,10 @@ def _limits(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _calibrate(pdf: pd.DataFrame) -> pd.DataFrame:
-    """From a histogram ``source, bin, free, limited`` of open endings, by EM over the free ones: their probability of being cut, and each bin's likelihood ratio."""
+    """From a histogram ``source, bin, free, limited`` of open and broken endings, by EM over the free ones: their probability of being cut, and each bin's likelihood ratio.
+
+    Evidence is bounded, so a source has at most 64 bins however many texts it has.
+    """
     bins = np.unique(pdf.bin.to_numpy(float))
     at = np.searchsorted(bins, pdf.bin.to_numpy(float))
     code, names = pd.factorize(pdf.source, use_na_sentinel=False)
@@ -265,7 +268,7 @@ def length_limits(features: DataFrame) -> DataFrame:
     """Candidate limits of each source in characters and bytes; see :data:`_LIMIT`. Counts are of different texts.
 
     A length that is frequent in most sources comes from their content: the median, over sources, of
-    its share is expected in each. The list it is taken from has one number a source.
+    its share is expected in each.
     """
     units = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("length")))).alias("u")
     histogram = features.select("source", units).groupBy("source", "u.unit", "u.length").agg(F.count("*").alias("n_texts"))
@@ -273,9 +276,10 @@ def length_limits(features: DataFrame) -> DataFrame:
     sources = sizes.agg(F.countDistinct(F.coalesce("s_", F.lit("\u0000"))).alias("n_sources"))  # one row
     shared = histogram.join(sizes, _same("source", "s_") & (F.col("unit") == F.col("u_"))).select("source", "unit", "length", "n_texts", (F.col("n_texts") / F.col("size")).alias("share"))
     rank = F.col("n_sources") - F.floor((F.col("n_sources") - 1) / 2)  # from the top; absent sources have no share
-    listed = shared.groupBy("unit", "length").agg(F.sort_array(F.collect_list("share"), asc=False).alias("shares")).crossJoin(F.broadcast(sources))
-    usual = listed.select(F.col("unit").alias("u_"), F.col("length").alias("l_"), F.when((F.col("n_sources") > 2) & (F.size("shares") >= rank), F.try_element_at("shares", rank.cast("int"))).otherwise(0.0).alias("usual"))
-    placed = shared.join(usual, (F.col("unit") == F.col("u_")) & (F.col("length") == F.col("l_"))).select("source", "unit", "length", "n_texts", "usual")
+    nth = F.row_number().over(Window.partitionBy("unit", "length").orderBy(F.desc("share")))
+    ranked = shared.withColumn("nth", nth).crossJoin(F.broadcast(sources)).where((F.col("n_sources") > 2) & (F.col("nth") == rank))
+    usual = ranked.select(F.col("unit").alias("u_"), F.col("length").alias("l_"), F.col("share").alias("usual"))
+    placed = shared.join(usual, (F.col("unit") == F.col("u_")) & (F.col("length") == F.col("l_")), "left").select("source", "unit", "length", "n_texts", F.coalesce("usual", F.lit(0.0)).alias("usual"))
     return placed.groupBy("source", "unit").applyInPandas(_limits, _LIMIT)
 
 
@@ -323,11 +327,11 @@ def judged_texts(rows: DataFrame, source: str = "source", text: str = "text") ->
     by_end = F.least(F.greatest(F.log(F.lit(NEUTRAL) / F.greatest(p3, F.lit(1e-9))), F.lit(-MOST)), F.lit(MOST))
     evidence = F.when(F.col("state") == 2, F.lit(2 * MOST)).when(F.col("state") == 1, by_end + F.col("extra")).otherwise(F.lit(-2 * MOST))
     scored = stage(joined.withColumn("evidence", evidence).select("source", "h1", "h2", "n_rows", "state", "p_limit", "evidence", (F.round(F.col("evidence") * 2) / 2).alias("bin")), "scored")
-    bins = scored.where("state = 1").groupBy("source", "bin").agg(F.sum(F.col("p_limit").isNull().cast("long")).alias("free"), F.sum(F.col("p_limit").isNotNull().cast("long")).alias("limited"))
+    bins = scored.where("state > 0").groupBy("source", "bin").agg(F.sum(F.col("p_limit").isNull().cast("long")).alias("free"), F.sum(F.col("p_limit").isNotNull().cast("long")).alias("limited"))
     one = bins.groupBy(F.lit(1).alias("all"))  # one row for each source and bin
     known_bins = one.applyInPandas(lambda pdf: _calibrate(pdf), "source string, bin double, p_free double, log_ratio double").withColumnsRenamed({"source": "s_", "bin": "b_"})
     odds = F.log(F.col("p_limit") / (1 - F.col("p_limit"))) + F.col("log_ratio")
-    p_cut = F.when(F.col("state") == 0, 0.0).when(F.col("state") == 2, 1.0).when(F.col("p_limit").isNotNull(), F.greatest(1 / (1 + F.exp(-odds)), F.col("p_free"))).otherwise(F.col("p_free"))
+    p_cut = F.when(F.col("state") == 0, 0.0).when(F.col("p_limit").isNotNull(), F.greatest(1 / (1 + F.exp(-odds)), F.col("p_free"))).otherwise(F.col("p_free"))
     judged = scored.join(known_bins, _same("source", "s_") & (F.col("bin") == F.col("b_")), "left").select("source", "h1", "h2", "n_rows", "state", "evidence", "p_limit", p_cut.alias("p_cut"))
     return judged, limits
 
