@@ -37,9 +37,11 @@ TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the splitting pattern of the public vocabulary byte_bpe_50k.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Longest span, in characters, that is encoded at once.
-LEAF_CHARS = 128
+LEAF_CHARS = 256
 #: Characters beside a seam that are looked at first for the window's end.
 WINDOW = 32
+#: Spans of fewer tokens are held as lists, which join faster; longer ones as arrays.
+LIST_TOKENS = 4_096
 #: Words longer than this, in characters, are joined token by token.
 LONG_WORD = 4_000
 #: Places where a word begins whatever stands around them, with one character on either side.
@@ -51,7 +53,11 @@ class Span(NamedTuple):
 
     start: int
     end: int
-    ids: np.ndarray
+    ids: list[int] | np.ndarray
+
+
+def _array(*parts: list[int] | np.ndarray) -> np.ndarray:
+    return np.concatenate([np.asarray(p, np.int32) for p in parts])
 
 
 class Tokenizer:
@@ -78,9 +84,6 @@ class Tokenizer:
     def _word(self, word: str) -> list[int]:
         return self.library._encode_single_piece(word.encode("utf-8", "surrogatepass"))
 
-    def _plain(self, text: str) -> np.ndarray:
-        return np.asarray(self.library.encode_ordinary(text), np.int32)
-
     # --- the monoid ---
 
     def _window(self, text: str, start: int, seam: int, end: int) -> tuple[int, int]:
@@ -105,10 +108,11 @@ class Tokenizer:
         low, high = self._window(text, start, seam, end)
         if high - low > self.long_word:
             return self._join_long(text, left, right, low, high)
-        library = self.library
-        kept = len(left.ids) - len(library.encode_ordinary(text[low:seam]))
-        dropped = len(library.encode_ordinary(text[seam:high]))
-        return Span(start, end, np.concatenate([left.ids[:kept], self._plain(text[low:high]), right.ids[dropped:]]))
+        encode, a, b = self.library.encode_ordinary, left.ids, right.ids
+        kept, dropped = len(a) - len(encode(text[low:seam])), len(encode(text[seam:high]))
+        if type(a) is list and type(b) is list and len(a) + len(b) < LIST_TOKENS:
+            return Span(start, end, [*a[:kept], *encode(text[low:high]), *b[dropped:]])
+        return Span(start, end, _array(a[:kept], encode(text[low:high]), b[dropped:]))
 
     def _words(self, text: str, start: int, end: int) -> list[tuple[int, int]]:
         return [m.span() for m in self.pattern.finditer(text, start, end)]
@@ -117,6 +121,7 @@ class Tokenizer:
         """A join whose window holds a long word: words of the window one by one, the one across the seam token by token."""
         self.long_joins += 1
         seam = left.end
+        left, right = left._replace(ids=_array(left.ids)), right._replace(ids=_array(right.ids))
         before, behind = self._words(text, low, seam), self._words(text, seam, high)
         # Places of each word's first token, counted from the seam in bytes.
         ends = np.cumsum(self._length[left.ids[::-1]])
@@ -148,7 +153,7 @@ class Tokenizer:
 
     def _tree(self, text: str, start: int, end: int) -> Span:
         if end - start <= self.leaf:
-            return Span(start, end, self._plain(text[start:end]))
+            return Span(start, end, self.library.encode_ordinary(text[start:end]))
         half = (start + end) // 2
         return self.join(text, self._tree(text, start, half), self._tree(text, half, end))
 
