@@ -34,7 +34,7 @@ from studyloom.llm.tokens import TOKENIZERS, tokenizer
 from studyloom.staging import stage
 
 #: Bounds of the sample that the classifier is fitted on: documents, and their longest length in characters. They bound the model's size too.
-SAMPLE_TEXTS, SAMPLE_CHARS = 20_000, 4_000
+SAMPLE_TEXTS, SAMPLE_CHARS = 10_000, 4_000
 #: Hashed pairs of neighbouring tokens.
 PAIRS = 1 << 18
 #: Occurrences that the whole sample adds to each domain, and the number of features that a document's evidence counts for at most.
@@ -44,13 +44,15 @@ STEPS = 10
 #: Weight of recorded sources against soft domains while fitting.
 RECORDED = 2.0
 #: Iterations with both sets of totals, and at most as many with recorded sources alone; these end when shares are within ``CLOSE``.
-BOTH_ROUNDS, LAST_ROUNDS, CLOSE = 16, 10, 1e-6
+BOTH_ROUNDS, LAST_ROUNDS, CLOSE = 12, 10, 1e-6
 #: Bins of the histograms that thresholds are found from.
 BINS = 2048
-#: Rounds that fill what long documents leave open.
-FILL_ROUNDS = 4
-#: Cells of a table of documents by domains that a task fills at once.
-CELLS = 2_000_000
+#: Rounds that fill what long documents leave open, while it is more than this share of a source's tokens.
+FILL_ROUNDS, OPEN = 4, 1e-5
+#: Domains up to which the gains of all of them stand in one table; for more, only those that aren't 0 are held.
+DOMAINS_AT_ONCE = 64
+#: Cells of a table of documents by domains that a task fills at once, at most as many documents, and as many of their features.
+CELLS, BATCH, AT_ONCE = 1_000_000, 1_000, 50_000
 
 
 class Targets(NamedTuple):
@@ -93,11 +95,18 @@ class Classifier:
         self.vocabulary, width = vocabulary, vocabulary + PAIRS
         self.domains = np.array(sorted(documents), np.int64)
         code = np.searchsorted(self.domains, domain)
-        order = np.argsort(feature, kind="stable")
-        self.code = code[order].astype(np.int32)
         usual = np.bincount(feature, count, width) + 0.1
-        self.gain = np.log1p(count[order] / (SMOOTH * usual[feature[order]] / usual.sum()))
-        self.first = np.searchsorted(feature[order], np.arange(width + 1))
+        gain = np.log1p(count / (SMOOTH * usual[feature] / usual.sum()))
+        known, row = np.unique(feature, return_inverse=True)
+        #: Row of each feature in the table of gains; row 0 holds nothing.
+        self.row = np.zeros(width, np.int32)
+        self.row[known] = np.arange(1, len(known) + 1)
+        if len(self.domains) <= DOMAINS_AT_ONCE:
+            self.sparse, self.gains = None, np.zeros((len(known) + 1, len(self.domains)), np.float32)
+            self.gains[row + 1, code] = gain
+        else:
+            order = np.argsort(row, kind="stable")
+            self.sparse = np.searchsorted(row[order] + 1, np.arange(len(known) + 2)), code[order], gain[order]
         self.unseen = np.log(SMOOTH / (np.bincount(code, count, len(self.domains)) + SMOOTH))
         self.base = np.log(np.array([documents[int(d)] for d in self.domains], float) / max(1, sum(documents.values())))
 
@@ -107,10 +116,19 @@ class Classifier:
         each = [features_of(i, self.vocabulary) for i in ids]
         sizes = np.array([len(f) for f in each], np.int64)
         features = np.concatenate(each) if each else np.empty(0, np.int64)
-        begin, n = self.first[features], self.first[features + 1] - self.first[features]
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
-        document = np.repeat(np.repeat(np.arange(len(sizes)), sizes), n)
-        scores = np.bincount(document * width + self.code[at], self.gain[at], len(sizes) * width).reshape(-1, width)
+        rows, documents = self.row[features], np.repeat(np.arange(len(sizes)), sizes)
+        sums = np.zeros(len(sizes) * width)
+        for a in range(0, len(rows), AT_ONCE):
+            some, of = rows[a : a + AT_ONCE], documents[a : a + AT_ONCE]
+            if self.sparse is None:
+                begin = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+                sums.reshape(-1, width)[of[begin]] += np.add.reduceat(self.gains[some], begin)
+            else:
+                first, code, gain = self.sparse
+                begin, n = first[some], first[some + 1] - first[some]
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - begin, n)
+                sums += np.bincount(np.repeat(of * width, n) + code[at], gain[at], len(sums))
+        scores = sums.reshape(-1, width)
         scores = scores / np.maximum(sizes, 1)[:, None] + self.unseen
         scores = self.base + scores * np.minimum(SHARPNESS, sizes)[:, None]
         p = np.exp(scores - scores.max(axis=1, keepdims=True)) if width else scores
@@ -140,9 +158,9 @@ def fit_classifier(documents: DataFrame, domains: list[str], name: str = "byte_b
 
     labelled = documents.where("source is not null and text is not null").where(F.length("text").between(1, n_chars))
     share = max(1, labelled.count() // n_texts)
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select(_placed(domains, F.col("source").cast("string")).alias("place"), F.col("text").cast("string").alias("text")).limit(2 * n_texts)
-    # At most one row for each different feature of a domain in the sample.
-    cells = sample.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select(_placed(domains, F.col("source").cast("string")).alias("place"), F.col("text").cast("string").alias("text"))
+    # At most one row for each different feature of a domain in the sample, and only those that occur again.
+    cells = sample.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1 or cell < 0").toPandas()
     cell, n, size = cells.cell.to_numpy(np.int64), cells.n.to_numpy(np.int64), tokenizer(name, folder).size
     own, width = cell < 0, size + PAIRS
     return Classifier(cell[~own] % width, cell[~own] // width, n[~own].astype(float), dict(zip((-1 - cell[own]).tolist(), n[own].tolist())), size)
@@ -156,7 +174,7 @@ def described(documents: DataFrame, classifier: Classifier, name: str, folder: s
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, domains = tokenizer(name, folder), classifier.domains.astype(np.int32)
-        some = max(1, CELLS // max(1, len(domains)) // 64)
+        some = max(1, min(BATCH, CELLS // max(1, len(domains))))
         for whole in it:
             for at in range(0, whole.num_rows, some):
                 batch = whole.slice(at, some)
@@ -336,15 +354,17 @@ def _taken(rated: DataFrame, wanted: DataFrame) -> DataFrame:
     A long document at the threshold may leave a gap; later rounds fill it with shorter ones.
     """
     chosen = rated.withColumn("extra", F.lit(False))
+    least = wanted.select(F.col("source").alias("l_"), "least")
+    wanted = wanted.select("source", "wanted").where("wanted >= 1")
     for k in range(FILL_ROUNDS):
         fits = F.lit(True) if k == 0 else F.col("n_tokens") <= F.col("gap_")
-        gaps = wanted.where("wanted >= 1").select(F.col("source").alias("g_"), F.col("wanted").alias("gap_"))
+        gaps = wanted.select(F.col("source").alias("g_"), F.col("wanted").alias("gap_"))
         open_ = chosen.where("not extra and score is not null").join(gaps, F.col("source") == F.col("g_")).where(fits)
-        cuts = stage(_threshold(open_.select("source", "score", "n_tokens"), wanted.where("wanted >= 1"), k + 1 == FILL_ROUNDS), "cuts")
+        cuts = stage(_threshold(open_.select("source", "score", "n_tokens"), wanted, k + 1 == FILL_ROUNDS), "cuts")
         limits = cuts.join(gaps, F.col("source") == F.col("g_")).select("g_", "gap_", "cut")
         chosen = chosen.join(limits, F.col("source") == F.col("g_"), "left").withColumn("extra", F.col("extra") | F.coalesce(fits & (F.col("score") < F.col("cut")), F.lit(False))).drop("g_", "gap_", "cut")
-        wanted = cuts.select("source", "wanted")
-        if cuts.where("wanted >= 1").isEmpty():
+        wanted = cuts.join(least, F.col("source") == F.col("l_")).where("wanted >= least").select("source", "wanted")
+        if wanted.isEmpty():
             break
     return chosen
 
@@ -380,7 +400,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: float |
     rated = stage(rated.drop("rate"), "rated")
     aims = spark.createDataFrame([(n, float(a * size)) for n, a in zip(listed.names, aim)], "source string, aim double")
     sure = rated.groupBy("source").agg(F.sum(F.col("whole") * F.col("n_tokens")).alias("sure")).withColumnRenamed("source", "s_")
-    wanted = stage(aims.join(sure, F.col("source") == F.col("s_"), "left").select("source", F.greatest(F.col("aim") - F.coalesce("sure", F.lit(0)), F.lit(0.0)).alias("wanted")), "wanted")
+    wanted = stage(aims.join(sure, F.col("source") == F.col("s_"), "left").select("source", F.greatest(F.col("aim") - F.coalesce("sure", F.lit(0)), F.lit(0.0)).alias("wanted"), F.greatest(F.lit(1.0), F.col("aim") * OPEN).alias("least")), "wanted")
     taken = _taken(rated, wanted).withColumn("n_copies", F.col("whole") + F.col("extra").cast("int")).where("n_copies > 0")
     return Mix(taken.select("doc_id", "source", "n_copies", "n_tokens"), _shares(taken, rows.join(own, F.col("source") == F.col("listed_"), "left_anti"), listed, spark))
 

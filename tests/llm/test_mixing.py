@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from studyloom.llm import mixing
 from studyloom.llm.mixing import fit_classifier, mix_sources
 from studyloom.llm.tokens import tokenizer
 
@@ -102,3 +103,15 @@ def test_soft_membership_decides_within_a_source(spark):
     taken = lambda like: [copies.get(i, 0) for i in range(3000) if i % 3 and (i % 30 == 1) == like]
     assert np.mean(taken(True)) < 0.5 * np.mean(taken(False))
     assert {r.source: round(r.actual_share, 2) for r in mix.shares.collect()} == {"math": 0.6, "chat": 0.4}
+
+
+def test_many_domains_are_scored_alike(monkeypatch):
+    rng = np.random.default_rng(3)
+    feature, domain = rng.integers(0, 500, 3000), rng.integers(0, 5, 3000)
+    cells = {(f, d): float(n) for f, d, n in zip(feature.tolist(), domain.tolist(), rng.integers(1, 9, 3000).tolist())}
+    parts = np.array([f for f, _ in cells]), np.array([d for _, d in cells]), np.array(list(cells.values()))
+    ids = [rng.integers(0, 500, n) for n in (0, 1, 7, 400)]
+    one = mixing.Classifier(*parts, dict.fromkeys(range(5), 10), 500).posteriors(ids)
+    monkeypatch.setattr(mixing, "DOMAINS_AT_ONCE", 2)
+    monkeypatch.setattr(mixing, "AT_ONCE", 50)
+    assert np.allclose(one, mixing.Classifier(*parts, dict.fromkeys(range(5), 10), 500).posteriors(ids), atol=1e-4)
