@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from studyloom.config import DEFAULT, UNKNOWN, Settings
 from studyloom.functions.cascade import SUBTYPE_LABELS, subtype_of
 from studyloom.functions.keys import joined_words, uuid_key
+from studyloom.functions.tags import ERROR_LABELS
 from studyloom.functions.text import clip, first_filled, label, normalize, strip
 from studyloom.operators.messages import message_identity
 from studyloom.operators.numbering import number_rows, over_preceding
@@ -174,7 +175,7 @@ def recent_attempts(attempts: DataFrame, n: int = 3, task_number: int | None = N
     if task_number is not None:
         kept = kept.where(F.col("task_number") == task_number)
     one = newest(kept, 1, ["student_id", "task_id"], "seq").drop("nth")
-    return newest(one, n, "student_id", "seq", name="place").select("student_id", "place", "task_id", "task_number", label("subtype", SUBTYPE_LABELS).alias("subtype"), "ok", clip("task_text", 900).alias("problem"), F.array_join(F.transform("tags", lambda t: label(t, {})), ", ").alias("errors"))
+    return newest(one, n, "student_id", "seq", name="place").select("student_id", "place", "task_id", "task_number", label("subtype", SUBTYPE_LABELS).alias("subtype"), "ok", clip("task_text", 900).alias("problem"), F.array_join(F.transform("tags", lambda t: label(t, ERROR_LABELS)), ", ").alias("errors"))
 
 
 def recent_wrong_examples(attempts: DataFrame, errors: DataFrame, n: int = 3, settings: Settings = DEFAULT, task_number: int | None = None) -> DataFrame:
@@ -241,7 +242,7 @@ def summary(counts: DataFrame, top: DataFrame, settings: Settings = DEFAULT) ->
         ordered = F.array_sort(F.collect_list(entry))
         return df.groupBy("student_id").agg(F.array_join(F.transform(F.slice(ordered, 1, 8), lambda e: e["text"]), "; ").alias(name))
 
-    best = listed(top.where("place <= 8").withColumn("o1", F.col("place").cast("long")).withColumn("o2", F.col("tag")), "top_errors", label("tag", {}), F.lit(" "), F.format_string("%.2f", F.round(F.round("score", 9), 2)))
+    best = listed(top.where("place <= 8").withColumn("o1", F.col("place").cast("long")).withColumn("o2", F.col("tag")), "top_errors", label("tag", ERROR_LABELS), F.lit(" "), F.format_string("%.2f", F.round(F.round("score", 9), 2)))
     practised = listed(counts.where("attempts > 0").withColumn("o1", -F.col("attempts").cast("long")).withColumn("o2", F.col("subtype")), "practised", label("subtype", SUBTYPE_LABELS), F.lit(" "), F.col("attempts").cast("string"))
     weak = listed(counts.where("wrong > 0").withColumn("o1", -F.col("wrong").cast("long")).withColumn("o2", F.col("subtype")), "weak", label("subtype", SUBTYPE_LABELS), F.lit(" "), F.col("wrong").cast("string"))
     joined = levels.join(best, "student_id", "left").join(practised, "student_id", "left").join(weak, "student_id", "left")

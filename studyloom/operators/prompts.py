@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from studyloom.functions.tags import ERROR_LABELS
 from studyloom.functions.text import label, strip, without_fence
 
 #: The query that is always asked, and the one for an empty set.
@@ -121,7 +122,7 @@ def rationale(found: DataFrame, most: int = 1000) -> DataFrame:
 
 def learner_block(top: DataFrame, frontier: DataFrame, wrong: DataFrame) -> DataFrame:
     """``student_id, block``: what a reader has to know about a learner: main error, top errors, topics, recent wrong tasks."""
-    errors = top.groupBy("student_id").agg(F.array_sort(F.collect_list(F.struct("place", label("tag", {}).alias("t")))).alias("e"))
+    errors = top.groupBy("student_id").agg(F.array_sort(F.collect_list(F.struct("place", label("tag", ERROR_LABELS).alias("t")))).alias("e"))
     topics = frontier.groupBy("student_id").agg(F.array_sort(F.collect_list(F.struct("place", "title"))).alias("f"))
     part = F.concat(
         F.lit("  "), F.col("place").cast("string"), F.lit(". Задание №"), F.coalesce(F.col("task_number").cast("string"), F.lit("?")),
@@ -206,9 +207,9 @@ _MISTAKES_LEAD, _MATERIAL_LEAD, _NO_MATERIAL = "Известные типичн
 _ANY_ERROR = "типичная ошибка"
 
 
-def _collected(df: DataFrame, name: str, text: Column, most: int) -> DataFrame:
-    """``student_id, <name>``: a learner's texts in order of ``place``, at most a few."""
-    kept = df.where(F.col("place") <= most)
+def _collected(df: DataFrame, name: str, text: Column, most: int | None = None) -> DataFrame:
+    """``student_id, <name>``: a learner's texts in order of ``place``, at most the first few; without ``most`` all, which are as many as were asked for."""
+    kept = df if most is None else df.where(F.col("place") <= most)
     return kept.groupBy("student_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", text.alias("t")))), lambda x: x["t"]).alias(name))
 
 
@@ -222,11 +223,11 @@ def context_bundle(levels: DataFrame, top: DataFrame, mistakes: DataFrame, topic
     is_mistake = F.col("atom").startswith("mc_")
     block = F.concat(F.col("place").cast("string"), F.lit(". "), F.col("title"), F.lit("\n"), F.col("text"))
     parts = [
-        _collected(top, "e", label("tag", {}), 5),
+        _collected(top, "e", label("tag", ERROR_LABELS), 5),
         _collected(mistakes, "m", F.concat(F.lit("  - "), F.col("line")), 2),
         _collected(topics, "f", F.concat(F.lit("  - "), F.col("title")), 3),
-        _collected(retrieved.where(is_mistake), "w", block, 100),
-        _collected(retrieved.where(~is_mistake), "c", block, 100),
+        _collected(retrieved.where(is_mistake), "w", block),
+        _collected(retrieved.where(~is_mistake), "c", block),
     ]
     row = levels.select("student_id", "detail")
     for part in parts:

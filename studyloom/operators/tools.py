@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from studyloom.config import TOOL_TASKS
 from studyloom.functions.cascade import SUBTYPE_LABELS
+from studyloom.functions.tags import ERROR_LABELS
 from studyloom.functions.text import clip, label, query_tokens
 from studyloom.operators import graph, profile, prompts, retrieval
 from studyloom.operators.curated import beside
@@ -106,7 +107,7 @@ def get_misconception_hints(ctx: Context, error_tags: list[str] | None = None, t
         bare = learners.join(top.select("student_id").distinct(), "student_id", "left_anti")
         picked = top.join(own, "error_tag").select("student_id", *own.columns).unionByName(beside(bare, own))
     place = F.row_number().over(Window.partitionBy("student_id").orderBy("ord"))
-    return picked.withColumn("place", place).where(F.col("place") <= _count(limit, 4, 6)).select("student_id", "place", "title", F.col("text").alias("hint"), label("error_tag", {}).alias("error"), "task_number")
+    return picked.withColumn("place", place).where(F.col("place") <= _count(limit, 4, 6)).select("student_id", "place", "title", F.col("text").alias("hint"), label("error_tag", ERROR_LABELS).alias("error"), "task_number")
 
 
 def get_similar_solved_tasks(ctx: Context, query: str = "", task_number: object = None, limit: object = 2, **_: object) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from studyloom.config import DEFAULT
 from studyloom.functions.cascade import SUBTYPE_LABELS, subtype_sql
+from studyloom.functions.tags import ERROR_LABELS
 from studyloom.functions.text import BLANK_RE2 as BLANK
 from studyloom.operators import graph as G
 from studyloom.operators import profile as P
@@ -35,6 +36,11 @@ def clip_sql(text: str, limit: int) -> str:
     return f"case when length({t}) <= {limit} then {t} else regexp_replace(left({t}, {limit - 3}), '{BLANK}+$', '') || '...' end"
 
 
+def error_label_sql(name: str) -> str:
+    pairs = ", ".join("'" + tag + "': '" + text.replace("'", "''") + "'" for tag, text in ERROR_LABELS.items())
+    return f"coalesce((map {{{pairs}}})[{name}], replace({name}, '_', ' '))"
+
+
 def label_sql(name: str) -> str:
     return f"coalesce(case {name} " + " ".join(f"when '{k}' then '{v}'" for k, v in SUBTYPE_LABELS.items()) + f" end, replace({name}, '_', ' '))"
 
@@ -271,7 +277,7 @@ ORACLES: dict[str, str] = {
     "profile_recent_attempts": f"""with {ATTEMPTS}, kept as (select * from attempts qualify row_number() over (partition by student_id order by seq desc) <= 100),
       one as (select * from kept qualify row_number() over (partition by student_id, task_id order by seq desc) = 1)
       select student_id, row_number() over (partition by student_id order by seq desc) place, task_id, task_number, {label_sql("subtype")} subtype, ok, {clip_sql("task_text", 900)} problem,
-        array_to_string(list_transform(tags, lambda t: replace(t, '_', ' ')), ', ') errors from one qualify place <= 3""",
+        array_to_string(list_transform(tags, lambda t: {error_label_sql('t')}), ', ') errors from one qualify place <= 3""",
     "profile_recent_wrong_examples": f"""with {ATTEMPTS}, {ERRORS}, {KEPT}, recent as (select * from attempts qualify row_number() over (partition by student_id order by seq desc) <= 100),
       every as (select student_id, coalesce(task_id, '') task_id, 0 origin, seq s, 0 r, subtype, task_text problem from recent where not ok
         union all select student_id, coalesce(task_id, ''), 1, seq, rec_id, subtype, coalesce(nullif(problem_katex, ''), task_text, '') from kept),
@@ -290,7 +296,7 @@ ORACLES: dict[str, str] = {
       select student_id, place, query from first join focus using (subtype) where query is not null""",
     "profile_summary": f"""with {SCORES}, {TOP.format(8)}, {COUNTS},
       t as (select student_id, sum(attempts)::bigint attempts, sum(wrong)::bigint wrong from counts group by 1),
-      a as (select student_id, string_agg(replace(tag, '_', ' ') || ' ' || round(round(score, 9)::decimal(18, 9), 2)::decimal(18, 2), '; ' order by place) top_errors from top group by 1),
+      a as (select student_id, string_agg({error_label_sql('tag')} || ' ' || round(round(score, 9)::decimal(18, 9), 2)::decimal(18, 2), '; ' order by place) top_errors from top group by 1),
       b as (select student_id, string_agg({label_sql("subtype")} || ' ' || attempts, '; ' order by attempts desc, subtype) practised from (select * from counts where attempts > 0 qualify row_number() over (partition by student_id order by attempts desc, subtype) <= 8) group by 1),
       c as (select student_id, string_agg({label_sql("subtype")} || ' ' || wrong, '; ' order by wrong desc, subtype) weak from (select * from counts where wrong > 0 qualify row_number() over (partition by student_id order by wrong desc, subtype) <= 8) group by 1)
       select student_id, attempts, wrong, case when attempts = 0 or (attempts - wrong) / attempts < 0.3 then 'подробный' when (attempts - wrong) / attempts < 0.6 then 'средний' else 'краткий' end detail,

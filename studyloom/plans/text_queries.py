@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from studyloom.config import TOOL_TASKS
 from studyloom.functions import text as X
 from studyloom.functions.cascade import SUBTYPE_LABELS, TAG_RULES, inferred_tag, subtype_of, subtype_sql
+from studyloom.functions.tags import ERROR_LABELS, allowed_tags, tag_table
 from studyloom.functions.mathml import task_page_text
 from studyloom.operators import profile as P
 from studyloom.operators import prompts as R
 from studyloom.plans import profile_queries as Q
-from studyloom.plans.profile_queries import BLANK, clip_sql, label_sql, norm_sql, squeeze_sql, strip_sql
+from studyloom.plans.profile_queries import BLANK, clip_sql, error_label_sql, label_sql, norm_sql, squeeze_sql, strip_sql
 from studyloom.plans.tables import table
 
 
@@ -61,7 +62,7 @@ def subtype_labels(spark, folder):
 
 
 def tag_labels(spark, folder):
-    return table(spark, folder, "profile_events").groupBy(X.label("tag", {}).alias("label")).agg(F.count("*").alias("n"))
+    return table(spark, folder, "profile_events").groupBy(X.label("tag", ERROR_LABELS).alias("label")).agg(F.count("*").alias("n"))
 
 
 def task_filter(spark, folder):
@@ -356,7 +357,7 @@ ORACLES: dict[str, str] = {
     "subtype_by_text": f"with t as (select task_number, {norm_sql('task_text')} n from profile_events) select task_number, {subtype_sql('n', 'task_number')} subtype, count(*) n from t group by 1, 2",
     "tag_inference": f"select task_id, {_tag_sql()} tag from (select *, lower(question) low from task_bank)",
     "subtype_labels": f"select task_id, {label_sql('subtype')} label from task_bank",
-    "tag_labels": "select replace(tag, '_', ' ') label, count(*) n from profile_events group by 1",
+    "tag_labels": f"select {error_label_sql('tag')} label, count(*) n from profile_events group by 1",
     "task_filter": f"select task_id, {strip_sql('answer')} answer from task_bank where task_number = 10 and length(task_id) > 0 and length({strip_sql('answer')}) > 0",
     "query_tokens": f"with t as (select doc_id, {_TOKENS.format('text')} w from documents where text is not null) select doc_id, len({_DISTINCT.format('w')}) n_tokens, array_to_string(({_DISTINCT.format('w')})[1:5], ' ') first from t",
     "token_overlap": f"with t as (select rec_id, {_TOKENS.format('task_text')} w, lower(coalesce(problem_katex, '') || ' ' || coalesce(solution, '')) h from profile_events where task_text is not null) select rec_id, len(list_filter({_DISTINCT.format('w')}, lambda x: contains(h, x))) n_common from t",
@@ -398,7 +399,7 @@ ORACLES: dict[str, str] = {
     "diagnosis_parse": _DIAGNOSED,
     "rationale_join": f"select submission_id, string_agg(tag, ',' order by place) tags, string_agg(reason, ' - ' order by place) rationale from ({_DIAGNOSED}) group by 1",
     "context_bundle": f"""with {Q.SCORES}, {Q.TOP.format(8)}, {Q.COUNTS}, b as (select student_id, sum(attempts)::bigint a, sum(wrong)::bigint w from counts group by 1),
-      e as (select student_id, list(replace(tag, '_', ' ') order by place) e from top where place <= 5 group by 1),
+      e as (select student_id, list({error_label_sql('tag')} order by place) e from top where place <= 5 group by 1),
       m as (select student_id, string_agg('  - ' || line, chr(10) order by place) m from ({Q.ORACLES["profile_concrete_mistakes"]}) group by 1),
       f as (select student_id, string_agg('  - ' || title, chr(10) order by place) f from ({Q.ORACLES["frontier_topics"]}) x join atoms on id = atom where place <= 3 group by 1),
       r as (select student_id, row_number() over (partition by student_id order by round(weakness, 9) desc, atom) place, title, text from (with {Q.WEAK} select * from weak) x join atoms on id = atom qualify place <= 4),
