@@ -102,6 +102,11 @@ def label(c: Column | str, labels: dict[str, str]) -> Column:
     return F.coalesce(table[c], F.replace(c, F.lit("_"), F.lit(" ")))
 
 
+def document_text(title: Column | str, text: Column | str) -> Column:
+    """What an index holds of a titled text; null if either is."""
+    return F.concat(_c(title), F.lit("\n"), _c(text))
+
+
 def flag(c: Column | str, default: bool | None) -> Column:
     """Three-state switch: yes-words, no-words, else the default."""
     t = F.lower(strip(c))

@@ -95,3 +95,14 @@ def merge_students(left: DataFrame, right: DataFrame) -> DataFrame:
     """Full outer merge of two tables by ``student_id``; ids that are null or empty are left out."""
     a, b = (df.where("student_id is not null and student_id <> ''") for df in (left, right))
     return a.join(b, "student_id", "full")
+
+
+def dashboard_summary(documents: DataFrame, judged_results: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row that a dashboard begins with, from one row each of :func:`document_scores` and :func:`judge_overall`, and from
+    :func:`macro_averages`; counts of sources that are missing are 0, their means null.
+    """
+    # One row each.
+    one = lambda df, prefix: df.select(*(F.col(c).alias(f"{prefix}_{c}") for c in df.columns))
+    every = benchmark.agg(F.coalesce(F.max("n_queries"), F.lit(0)).alias("benchmark_evaluated"), F.array_sort(F.collect_set("k")).alias("benchmark_cuts"))
+    row = every.join(F.broadcast(one(documents, "conspect").limit(1)), how="left").join(F.broadcast(one(judged_results, "judge").limit(1)), how="left")
+    return row.select(*(F.coalesce(c, F.lit(0)).alias(c) if c.endswith(("_count", "_relevant", "_retrieved", "_evaluated")) else F.col(c) for c in row.columns))

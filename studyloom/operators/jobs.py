@@ -37,6 +37,36 @@ def update_where(df: DataFrame, test: Column, **new: Column) -> DataFrame:
     return df.withColumns({name: F.when(test, value).otherwise(F.col(name)) for name, value in new.items()})
 
 
+#: The states that a job can be in.
+STATES = ("queued", "running", "done", "failed")
+
+
+def checked_state(status: Column, states: tuple[str, ...] = STATES) -> Column:
+    """The state as it is; a query that meets another one (null too) fails, as the table's constraint would."""
+    return F.when(status.isin(*states), status).otherwise(F.raise_error(F.concat(F.lit("no state of a job: "), F.coalesce(status, F.lit("null")))))
+
+
+def finished(jobs: DataFrame, test: Column, now: Column) -> DataFrame:
+    """``done``, for running jobs only."""
+    test = test & (F.col("status") == "running")
+    return update_where(jobs, test, status=F.lit("done"), completed_at=now, updated_at=now)
+
+
+def failed(jobs: DataFrame, test: Column, code: Column, message: Column, now: Column) -> DataFrame:
+    """``failed`` with what went wrong, whatever the state was."""
+    return update_where(jobs, test, status=F.lit("failed"), error_code=code, error_message=message, completed_at=now, updated_at=now)
+
+
+def posted(jobs: DataFrame, test: Column, now: Column) -> DataFrame:
+    """With the time of delivery."""
+    return update_where(jobs, test, posted_at=now, updated_at=now)
+
+
+def retried(jobs: DataFrame, test: Column, reason: Column, now: Column) -> DataFrame:
+    """One more try; a new reason (at most 500 characters) takes the old one's place, null leaves it."""
+    return update_where(jobs, test, retry_count=F.col("retry_count") + 1, error_message=F.coalesce(F.substring(reason, 1, 500), F.col("error_message")), updated_at=now)
+
+
 def nearest_rank(values: Column, p: float) -> Column:
     """Nearest-rank percentile of an array, ranks rounded half to even; null for none."""
     ordered = F.array_sort(values)

@@ -22,6 +22,10 @@ from studyloom.operators.linear_scan import scan_groups
 QUERY_BLOCK, DOCUMENT_BLOCK = 256, 2048
 
 
+#: Postings of documents times queries that a task multiplies at once.
+POSTINGS_AT_ONCE = 1_000_000
+
+
 def unit_length(c: Column) -> Column:
     """A vector divided by its length (at least 1e-12)."""
     norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
@@ -70,6 +74,15 @@ def block_topk(queries: DataFrame, documents: DataFrame, query_id: str, document
     return best.withColumn("place", F.row_number().over(window)).where(F.col("place") <= k).select("query_id", "doc_id", "place", "score")
 
 
+def hits(ranked: DataFrame, documents: DataFrame, id_: str, text: str) -> DataFrame:
+    """``query_id, place, doc_id, text, meta, score`` of a ranking: each hit's text, and its document's other columns as JSON but for vectors and digests."""
+    hidden = {id_, text, "content_hash", *(f.name for f in documents.schema if f.dataType.typeName() == "array" and f.dataType.elementType.typeName() in ("float", "double", "array"))}
+    rest = [c for c in documents.columns if c not in hidden]
+    meta = F.to_json(F.struct(*rest)) if rest else F.lit("{}")
+    stored = documents.select(F.col(id_).alias("doc_"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), meta.alias("meta"))
+    return ranked.join(stored, F.col("doc_id") == F.col("doc_")).select("query_id", "place", "doc_id", "text", "meta", "score")
+
+
 def dense_topk(queries: DataFrame, documents: DataFrame, id_: str, vector: str, k: int, filters: list[str] | None = None) -> DataFrame:
     """Best documents by cosine. A pair counts only if all ``filters`` columns are equal; a document isn't its own answer."""
     same = list(filters or [])
@@ -116,12 +129,26 @@ def sparse_topk(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
         for i, r in enumerate(q):
             a[i, np.searchsorted(vocabulary, r["terms"])] = r["weights"]
         out = np.full((len(q), len(d)), np.nan)
-        for j, r in enumerate(d):
-            terms, weights = np.array(r["terms"], np.int64), np.array(r["weights"])
-            at = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
-            hit = vocabulary[at] == terms
-            column = a[:, at[hit]] @ weights[hit]
-            out[:, j] = np.where((a[:, at[hit]] > 0).any(axis=1), column, np.nan)
+        if not len(vocabulary):
+            return out
+        # Postings of the block's documents, cut to terms that a query has; then as many documents at once as fit.
+        sizes = [len(r["terms"]) for r in d]
+        owner = np.repeat(np.arange(len(d)), sizes)
+        terms, weights = (np.concatenate([np.array(r[c], t) for r in d]) if d else np.empty(0, t) for c, t in (("terms", np.int64), ("weights", float)))
+        at = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
+        hit = vocabulary[at] == terms
+        owner, at, weights = owner[hit], at[hit], weights[hit]
+        step = max(1, POSTINGS_AT_ONCE // len(q))
+        begins = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.empty(0, np.int64)
+        first = 0
+        while first < len(begins):
+            last = max(first + 1, int(np.searchsorted(begins, begins[first] + step, "right")) - 1)
+            x, y = begins[first], begins[last] if last < len(begins) else len(owner)
+            part, starts = a[:, at[x:y]], begins[first:last] - x
+            sums = np.add.reduceat(part * weights[x:y], starts, axis=1)
+            met = np.logical_or.reduceat(part > 0, starts, axis=1)
+            out[:, owner[begins[first:last]]] = np.where(met, sums, np.nan)
+            first = last
         out[np.array([r["id"] for r in q])[:, None] == np.array([r["id"] for r in d])[None, :]] = np.nan
         return out
 

@@ -15,7 +15,7 @@ from studyloom.plans.tables import table
 from studyloom.staging import new_path
 from studyloom.streaming import submissions as S
 
-STATES = ("queued", "running", "done", "failed")
+STATES = J.STATES
 #: The moment that ages are taken at.
 NOW = "2026-04-01 00:00:00"
 _COLUMNS = ("job_id", "user_id", "status", "retry_count", "created_at", "updated_at")
@@ -51,13 +51,14 @@ def job_claim(spark, folder):
 
 
 def job_transitions(spark, folder):
-    """What the statements of the queue leave behind: finish, fail, post and retry by a rule on the retry count."""
-    jobs = J.latest_state(_jobs(spark, folder).select(*_COLUMNS, "error_message", "posted_at", "completed_at"))
-    running, failed = F.col("status") == "running", F.col("status") == "failed"
-    jobs = J.update_where(jobs, failed, retry_count=F.col("retry_count") + 1, error_message=F.coalesce(F.lit(None).cast("string"), F.substring("error_message", 1, 500)))
-    jobs = J.update_where(jobs, (F.col("status") == "done") & F.col("posted_at").isNull(), posted_at=_now())
-    jobs = J.update_where(jobs, running, status=F.lit("done"), completed_at=_now())
-    return jobs.select("job_id", "status", "retry_count", "error_message", "posted_at", "completed_at")
+    """What the statements of the queue leave behind: retry what failed, post what is done, and end what runs, by a rule on the retry count."""
+    jobs = J.latest_state(_jobs(spark, folder).select(*_COLUMNS, "error_code", "error_message", "posted_at", "completed_at")).withColumn("status", J.checked_state(F.col("status")))
+    reason = F.when(F.col("retry_count") % 2 == 0, F.concat(F.lit("next try of "), "job_id"))
+    jobs = J.retried(jobs, F.col("status") == "failed", reason, _now())
+    jobs = J.posted(jobs, (F.col("status") == "done") & F.col("posted_at").isNull(), _now())
+    jobs = J.failed(jobs, (F.col("status") == "running") & (F.col("retry_count") > 0), F.lit("TIMEOUT"), F.lit("no answer in time"), _now())
+    jobs = J.finished(jobs, F.col("status") == "running", _now())
+    return jobs.select("job_id", "status", "retry_count", "error_code", "error_message", "posted_at", "completed_at", "updated_at")
 
 
 def latest_jobs(spark, folder):
@@ -150,7 +151,7 @@ def _ended(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
 def stream_dedup(spark, folder):
     """One row of each submission id in the stream."""
-    once = S.once_each(M.valid_submissions(_stream(spark, folder)), "3650 days").where(uuid_key("submission_id").isNotNull())
+    once = S.once_each(M.valid_submissions(_stream(spark, folder)), "1 day").where(uuid_key("submission_id").isNotNull())
     return _ended(once.select(F.lower(F.hex(uuid_key("submission_id"))).alias("submission_id")), "once").select("submission_id")
 
 
@@ -221,8 +222,11 @@ ORACLES: dict[str, str] = {
     "job_insert_idempotent": "select distinct job_id, 'queued' status from submissions where job_id not in (select job_id from job_requests)",
     "job_claim": "select job_id, created_at from job_requests where status = 'queued' order by created_at, job_id limit 5",
     "job_transitions": f"""with l as (select * from job_requests qualify row_number() over (partition by job_id order by updated_at desc, user_id desc nulls last, status desc, retry_count desc, created_at desc) = 1)
-      select job_id, case when status = 'running' then 'done' else status end status, retry_count + case when status = 'failed' then 1 else 0 end retry_count, case when status = 'failed' then left(error_message, 500) else error_message end error_message,
-        case when status = 'done' and posted_at is null then timestamp '{NOW}' else posted_at end posted_at, case when status = 'running' then timestamp '{NOW}' else completed_at end completed_at from l""",
+      select job_id, case when status <> 'running' then status when retry_count > 0 then 'failed' else 'done' end status, retry_count + case when status = 'failed' then 1 else 0 end retry_count,
+        case when status = 'running' and retry_count > 0 then 'TIMEOUT' else error_code end error_code,
+        case when status = 'failed' and retry_count % 2 = 0 then 'next try of ' || job_id when status = 'running' and retry_count > 0 then 'no answer in time' else error_message end error_message,
+        case when status = 'done' and posted_at is null then timestamp '{NOW}' else posted_at end posted_at, case when status = 'running' then timestamp '{NOW}' else completed_at end completed_at,
+        case when status in ('failed', 'running') or status = 'done' and posted_at is null then timestamp '{NOW}' else updated_at end updated_at from l""",
     "latest_jobs": "select job_id, status, created_at from job_requests order by created_at desc, job_id desc limit 50",
     "job_stats": f"""with l as (select *, case when status = 'done' and started_at is not null and completed_at is not null then (epoch_us(completed_at) - epoch_us(started_at)) / 1000 end ms from job_requests order by created_at desc, job_id desc limit 500)
       select {', '.join(f"count(*) filter (status = '{s}') n_{s}" for s in STATES)}, count(*) filter (status in {STATES}) n_total, {_ROUND.format("ms")}, round(max(case when status = 'queued' then (epoch_us(timestamp '{NOW}') - epoch_us(created_at)) / 1e6 end), 3) longest_wait_s from l""",

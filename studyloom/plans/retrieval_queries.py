@@ -47,6 +47,12 @@ def dense_topk(spark, folder):
     return _dense(spark, folder).select("query_id", "doc_id", "place", F.round("score", 6).alias("score"))
 
 
+def hit_rows(spark, folder):
+    """Hits with what is stored beside their vectors."""
+    v = _vectors(spark, folder).withColumn("text", F.concat(F.lit("вектор "), "vec_id"))
+    return V.hits(_dense(spark, folder), v, "vec_id", "text").select("query_id", "place", "doc_id", "text", "meta", F.round("score", 6).alias("score"))
+
+
 def dense_topk_filtered(spark, folder):
     return _dense(spark, folder, K, ["label"]).select("query_id", "doc_id", "place", F.round("score", 6).alias("score"))
 
@@ -220,7 +226,7 @@ def judge_overall(spark, folder):
 
 def _graded(spark, folder):
     """Graded notes: three measures of each, some with an error."""
-    d = table(spark, folder, "documents").where("source = 'conspect'")
+    d = table(spark, folder, "documents")
     part = lambda salt: (F.col("doc_id") * salt % 101) / 100
     return d.select("doc_id", part(7).alias("personalization"), part(13).alias("school_format"), part(29).alias("math_correctness"), (F.col("doc_id") % 9 == 0).alias("has_error"))
 
@@ -237,6 +243,14 @@ def dashboard_merge(spark, folder):
     return E.merge_students(left, right)
 
 
+def dashboard_summary(spark, folder):
+    documents = E.document_scores(_graded(spark, folder), ("personalization", "school_format", "math_correctness"))
+    judged = E.judge_overall(E.judge_averages(E.judged(_answers(spark, folder))))
+    benchmark = E.macro_averages(_metrics(spark, folder), _vectors(spark, folder).select(F.col("vec_id").alias("query_id"), "label"), "label")
+    out = E.dashboard_summary(documents, judged, benchmark)
+    return out.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes if c != "benchmark_cuts"), F.array_join("benchmark_cuts", ",").alias("benchmark_cuts"))
+
+
 def _tasks(spark, folder):
     return table(spark, folder, "task_bank").select("task_id", "task_number", "subtype")
 
@@ -263,8 +277,8 @@ def labelled_tasks(spark, folder):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        vector_normalize, dense_topk, dense_topk_filtered, maxsim_topk, sparse_topk, sparse_topk_idf, rrf_legs, rrf_multi_query, rerank_concat, point_count, subtype_jaccard, profile_boost, expand_one_pass,
-        expand_exact, mmr_select, topo_order, retrieve_pipeline, ir_metrics, ir_macro_rollup, judge_snap, judge_macro_avg, judge_overall, geval_excl_errors, dashboard_merge, label_links, label_totals, labelled_tasks,
+        vector_normalize, dense_topk, hit_rows, dense_topk_filtered, maxsim_topk, sparse_topk, sparse_topk_idf, rrf_legs, rrf_multi_query, rerank_concat, point_count, subtype_jaccard, profile_boost, expand_one_pass,
+        expand_exact, mmr_select, topo_order, retrieve_pipeline, ir_metrics, ir_macro_rollup, judge_snap, judge_macro_avg, judge_overall, geval_excl_errors, dashboard_merge, dashboard_summary, label_links, label_totals, labelled_tasks,
     )
 }
 
@@ -312,7 +326,7 @@ _HITS = f"""{_DENSE}, r as ({_TOPK.format("ds", K)}), rel as (select q.vec_id qu
 _HITS = _HITS.replace("left join h using (query_id) where place is null or place <= k or true", "left join h on h.query_id = cnt.query_id and h.place <= cuts.k").replace("m as (select query_id,", "m as (select cnt.query_id,").replace("group by query_id, k, n)", "group by cnt.query_id, k, n)")
 _ROUNDED = ", ".join(f'round("{m}", 6) "{m}"' for m in E.METRICS)
 _AVERAGES = ", ".join(f'round(avg("{m}"), 6) "{m}"' for m in E.METRICS)
-_GRADED = "g as (select doc_id * 7 % 101 / 100 a, doc_id * 13 % 101 / 100 b, doc_id * 29 % 101 / 100 c, doc_id % 9 = 0 e from documents where source = 'conspect')"
+_GRADED = "g as (select doc_id * 7 % 101 / 100 a, doc_id * 13 % 101 / 100 b, doc_id * 29 % 101 / 100 c, doc_id % 9 = 0 e from documents)"
 _LABELS = """own as (select id atom, task_number, subtypes, len(subtypes) = 0 or (task_number = 13 and list_contains(subtypes, 'interval_selection')) wide from atoms),
   matched as (select distinct atom, task_id from (select atom, task_number, unnest(subtypes) s from own where not wide) o join task_bank t on t.task_number = o.task_number and t.subtype = s where length(task_id) > 0),
   links as (select * from matched union all select distinct atom, task_id from own join task_bank t using (task_number) where length(task_id) > 0 and atom not in (select atom from matched))"""
@@ -346,6 +360,13 @@ ORACLES: dict[str, str] = {
     "judge_overall": f"with {Q.SCORES}, {_BASE}, {_ANSWERS} select count(*) student_count, round(avg(a), 6) overall_avg_judge_score, sum(relevant_count)::bigint total_relevant, sum(retrieved_count)::bigint total_retrieved, round(sum(relevant_count) / sum(retrieved_count), 6) relevant_ratio from per",
     "dashboard_merge": f"""with {Q.SCORES}, {_BASE}, {_ANSWERS}, {Q.COUNTS}, l as (select student_id, sum(attempts)::bigint attempts from counts group by 1 having sum(attempts) > 20), r as (select student_id, relevant_count from per where relevant_count > 1)
       select student_id, attempts, relevant_count from l full join r using (student_id)""",
+    "dashboard_summary": f"""select d.student_count conspect_student_count, d.excluded_count conspect_excluded_count, d.overall_avg_score conspect_overall_avg_score, d.avg_personalization conspect_avg_personalization,
+        d.avg_school_format conspect_avg_school_format, d.avg_math_correctness conspect_avg_math_correctness, j.student_count judge_student_count, j.overall_avg_judge_score judge_overall_avg_judge_score,
+        coalesce(j.total_relevant, 0) judge_total_relevant, coalesce(j.total_retrieved, 0) judge_total_retrieved, j.relevant_ratio judge_relevant_ratio, (select count(distinct query_id) from (with {_HITS} select query_id from m)) benchmark_evaluated, '1,3,5,10' benchmark_cuts
+      from (with {_GRADED} select count(*) filter (not e) student_count, count(*) filter (e) excluded_count, round(avg((a + b + c) / 3) filter (not e), 6) overall_avg_score, round(avg(a) filter (not e), 6) avg_personalization, round(avg(b) filter (not e), 6) avg_school_format, round(avg(c) filter (not e), 6) avg_math_correctness from g) d,
+        (with {Q.SCORES}, {_BASE}, {_ANSWERS} select count(*) student_count, round(avg(a), 6) overall_avg_judge_score, sum(relevant_count)::bigint total_relevant, sum(retrieved_count)::bigint total_retrieved, round(sum(relevant_count) / sum(retrieved_count), 6) relevant_ratio from per) j""",
+    "hit_rows": f"""select query_id, place, doc_id, 'вектор ' || doc_id as text, case when label is null then '{{}}' else '{{"label":' || label || '}}' end meta, score
+      from (with {_DENSE} select query_id, doc_id, place, round(score, 6) score from ({_TOPK.format('ds', K)})) join embeddings on vec_id = doc_id""",
     "geval_excl_errors": f"with {_GRADED} select count(*) filter (not e) student_count, count(*) filter (e) excluded_count, round(avg((a + b + c) / 3) filter (not e), 6) overall_avg_score, round(avg(a) filter (not e), 6) avg_personalization, round(avg(b) filter (not e), 6) avg_school_format, round(avg(c) filter (not e), 6) avg_math_correctness from g",
     "label_links": f"with {_LABELS} select atom, task_id from links",
     "label_totals": f"with {_LABELS} select task_number, count(*) n_atoms, sum(n)::bigint n_links, round(avg(n), 6) avg_links from (select atom, count(*) n from links group by 1) l join atoms on id = atom group by 1",

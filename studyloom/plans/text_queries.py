@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from studyloom.config import TOOL_TASKS
 from studyloom.functions import text as X
 from studyloom.functions.cascade import SUBTYPE_LABELS, TAG_RULES, inferred_tag, subtype_of, subtype_sql
-from studyloom.functions.tags import ERROR_LABELS, allowed_tags, tag_table
+from studyloom.functions.tags import ERROR_LABELS, TASK_TAGS, allowed_tags
 from studyloom.functions.mathml import task_page_text
 from studyloom.operators import profile as P
 from studyloom.operators import prompts as R
@@ -52,9 +52,22 @@ def subtype_by_text(spark, folder):
 
 
 def tag_inference(spark, folder):
-    allowed = F.array(*map(F.lit, sorted({c for rules in TAG_RULES.values() for _, cs in rules for c in cs[:1]})))
-    t = table(spark, folder, "task_bank").withColumn("low", F.lower("question"))
-    return t.select("task_id", inferred_tag(F.col("low"), F.col("task_number"), allowed).alias("tag"))
+    """By the whole registry, and by what is left of it without the tags at odd places, which leads to second choices."""
+    t = table(spark, folder, "task_bank").withColumn("low", F.lower("question")).withColumn("allowed", allowed_tags(F.col("task_number")))
+    some = F.filter("allowed", lambda x, i: i % 2 == 0)
+    return t.select("task_id", inferred_tag(F.col("low"), F.col("task_number"), F.col("allowed")).alias("tag"), inferred_tag(F.col("low"), F.col("task_number"), some).alias("other_tag"))
+
+
+def task_tags(spark, folder):
+    """Tags that are allowed in each task of the bank."""
+    numbers = table(spark, folder, "task_bank").select("task_number").distinct()
+    tags = allowed_tags(F.col("task_number"))
+    return numbers.select("task_number", F.size(tags).cast("long").alias("n"), F.get(tags, F.lit(0)).alias("first"), F.element_at(tags, -1).alias("last"))
+
+
+def document_texts(spark, folder):
+    """What of an atom goes into an index."""
+    return table(spark, folder, "atoms").select("id", X.document_text("title", "text").alias("document"))
 
 
 def subtype_labels(spark, folder):
@@ -92,13 +105,17 @@ def sanitize_output(spark, folder):
     return _documents(spark, folder).where("text is not null").select("doc_id", F.md5(X.sanitize_output("text")).alias("digest"))
 
 
+#: Headings of the two sections that are looked at, in the words of different notes.
+PRACTICE, EXAMPLE = "(?:Потренируйся|Практика)", "(?:Разбор примера|Разбор ошибки)"
+
+
 def quality_scan(spark, folder):
-    codes = X.quality_violations("text", "Практика", "Разбор ошибки")
-    return _documents(spark, folder).where("source = 'conspect' and text is not null").select("doc_id", F.array_join(codes, " | ").alias("codes"))
+    codes = X.quality_violations("text", PRACTICE, EXAMPLE)
+    return _documents(spark, folder).where("text is not null").select("doc_id", F.array_join(codes, " | ").alias("codes"))
 
 
 def violation_hints(spark, folder):
-    t = _documents(spark, folder).where("source = 'conspect' and text is not null").withColumn("codes", X.quality_violations("text", "Практика", "Разбор ошибки"))
+    t = _documents(spark, folder).where("text is not null").withColumn("codes", X.quality_violations("text", PRACTICE, EXAMPLE))
     return t.select("doc_id", X.violation_hints(F.col("codes")).alias("hints"))
 
 
@@ -174,7 +191,7 @@ def query_set(spark, folder):
 
 
 def cold_start(spark, folder):
-    pool = table(spark, folder, "atoms").where("ord % 6 = 0").select("task_number", F.col("title").alias("query"))
+    pool = table(spark, folder, "atoms").select("task_number", F.col("title").alias("query"))
     return R.cold_start_queries(table(spark, folder, "profiles").select("student_id"), pool)
 
 
@@ -249,7 +266,7 @@ def similar_tasks(spark, folder):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        text_normalize, task_text_normalize, text_clip, answer_equality, subtype_cascade, subtype_by_text, tag_inference, subtype_labels, tag_labels, task_filter, query_tokens, token_overlap, html_to_text,
+        text_normalize, task_text_normalize, text_clip, answer_equality, subtype_cascade, subtype_by_text, tag_inference, task_tags, document_texts, subtype_labels, tag_labels, task_filter, query_tokens, token_overlap, html_to_text,
         task_pages, sanitize_output, quality_scan, violation_hints, json_sections, sections_markdown, section_assembly, safe_ids, argument_coercion, student_order, script_escape, content_hash,
         submissions_hash, tool_queries, judge_prompt_block, query_set, cold_start, task_pick, personalization_block, callback_snapshot, similar_tasks, argument_names, diagnosis_parse, rationale_join, context_bundle,
     )
@@ -275,19 +292,23 @@ def normalize_task_sql(text: str) -> str:
 
 _TOKENS = "list_filter(regexp_extract_all(lower({0}), '([a-zа-яё0-9]+)', 1), lambda w: length(w) > 2)"
 _DISTINCT = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
-_ALLOWED = "[" + ", ".join(f"'{c}'" for c in sorted({c for rules in TAG_RULES.values() for _, cs in rules for c in cs[:1]})) + "]"
 
 
-def _tag_sql() -> str:
+def _tag_sql(step: int) -> str:
+    """The tag among every ``step``-th tag of the task's registry."""
+    lists = " ".join(f"when {n} then {list(tags[::step])!r}" for n, tags in TASK_TAGS.items())
+    allowed = f"case task_number {lists} else [] end"
+
     def one(rules) -> str:
         cases = []
         for words, candidates in rules:
-            pick = "coalesce(" + ", ".join(f"case when list_contains({_ALLOWED}, '{c}') then '{c}' end" for c in candidates) + ", 'unknown')"
+            pick = "coalesce(" + ", ".join(f"case when list_contains(a, '{c}') then '{c}' end" for c in candidates) + ", 'unknown')"
             test = " or ".join(f"contains(low, '{w}')" for w in words) or "true"
             cases.append(f"when {test} then {pick}")
         return f"case {' '.join(cases)} end"
 
-    return f"case when task_number = 6 then {one(TAG_RULES[6])} when task_number = 10 then {one(TAG_RULES[10])} else {one(TAG_RULES[12])} end"
+    chosen = f"case when task_number = 6 then {one(TAG_RULES[6])} when task_number = 10 then {one(TAG_RULES[10])} else {one(TAG_RULES[12])} end"
+    return f"select task_id, {chosen} tag from (select *, lower(question) low, {allowed} a from task_bank)"
 
 
 _ID = X._ID
@@ -321,7 +342,7 @@ _EXAMPLE_LINE = r"""[case when regexp_matches(lower(l), '≈|примерно|п
   case when regexp_matches(lower(l), 'ответ|\*\*отв') and contains(l, '≈') then 'example_answer: approx in answer line' end,
   case when regexp_matches(lower(l), 'почему\s+не\s+проверяем\s+концы') then 'example_text: wrong hint about skipping endpoints' end]"""
 _SPLIT = "regexp_split_to_array({0}, '\\r\\n|\\n|\\r')"
-_SCAN = f"""scan as (select doc_id, {strip_sql(_section("Практика"))} body, {_section("Разбор ошибки")} shown from documents where source = 'conspect' and text is not null),
+_SCAN = f"""scan as (select doc_id, {strip_sql(_section(PRACTICE))} body, {_section(EXAMPLE)} shown from documents where text is not null),
   listed as (select doc_id, case when length(body) > 0 then list_concat(flatten(list_transform({_SPLIT.format("body")}, lambda l: {_PRACTICE_LINE})),
         [case when {_mentions(6)} < 1 or {_mentions(10)} < 1 or {_mentions(12)} < 1 then '{X.MIX}' end]) else ['{X.MISSING}'] end a,
       case when shown is not null then flatten(list_transform({_SPLIT.format("shown")}, lambda l: {_EXAMPLE_LINE})) else [] end b from scan),
@@ -355,7 +376,11 @@ ORACLES: dict[str, str] = {
     "answer_equality": f"select delivery_id, regexp_replace(replace(student_answer, ',', '.'), '{BLANK}+', '', 'g') = regexp_replace(replace(correct_answer, ',', '.'), '{BLANK}+', '', 'g') same, is_correct from submissions",
     "subtype_cascade": f"with t as (select task_id, task_number, {norm_sql(normalize_task_sql(_PROMPT))} n from task_bank) select task_id, {subtype_sql('n', 'task_number')} subtype from t",
     "subtype_by_text": f"with t as (select task_number, {norm_sql('task_text')} n from profile_events) select task_number, {subtype_sql('n', 'task_number')} subtype, count(*) n from t group by 1, 2",
-    "tag_inference": f"select task_id, {_tag_sql()} tag from (select *, lower(question) low from task_bank)",
+    "tag_inference": f"select a.task_id, a.tag, b.tag other_tag from ({_tag_sql(1)}) a join ({_tag_sql(2)}) b using (task_id)",
+    "task_tags": """select distinct task_number, case task_number when 6 then 10 when 10 then 21 when 12 then 13 when 13 then 14 when 16 then 13 else 0 end::bigint n,
+      case task_number when 6 then 'wrong_base_reduction' when 10 then 'units_mismatch' when 12 then 'deriv_wrong_rule' when 13 then 'trig_forgot_odz_function' when 16 then 'fin_simple_vs_compound' end first,
+      case task_number when 6 then 'sign_error_in_equation' when 10 then 'progression_off_by_one' when 12 then 'product_rule_error' when 13 then 'trig_enumeration_no_outside_check' when 16 then 'fin_integer_constraint_ignored' end last from task_bank""",
+    "document_texts": "select id, title || chr(10) || text document from atoms",
     "subtype_labels": f"select task_id, {label_sql('subtype')} label from task_bank",
     "tag_labels": f"select {error_label_sql('tag')} label, count(*) n from profile_events group by 1",
     "task_filter": f"select task_id, {strip_sql('answer')} answer from task_bank where task_number = 10 and length(task_id) > 0 and length({strip_sql('answer')}) > 0",
@@ -389,7 +414,7 @@ ORACLES: dict[str, str] = {
       union all select distinct student_id, 1000000, 1, '{R.OVERVIEW}' from profiles),
       once as (select student_id, query, min((part, at_)) f from every where query is not null group by 1, 2)
       select student_id, row_number() over (partition by student_id order by f, query) place, query from once""",
-    "cold_start": """with m as (select distinct p.student_id, a.task_number, a.title query, sha256(p.student_id || chr(1) || a.title) own from (select distinct student_id from profiles) p, (select * from atoms where ord % 6 = 0) a),
+    "cold_start": """with m as (select distinct p.student_id, a.task_number, a.title query, sha256(p.student_id || chr(1) || a.title) own from (select distinct student_id from profiles) p, atoms a),
       n as (select *, row_number() over (partition by student_id, task_number order by own) nth from m qualify nth <= 3) select student_id, row_number() over (partition by student_id order by task_number, nth) place, query from n""",
     "task_pick": f"select task_number, arg_min(task_id, sha256(task_id || '#42')) task_id from task_bank where length(task_id) > 0 and length({strip_sql('answer')}) > 0 group by 1",
     "callback_snapshot": f"""with t as (select student_id, string_agg(tag || '=' || round(round(score, 9)::decimal(18, 9), 3)::decimal(18, 3), ';' order by place) top_error_tags from (with {Q.SCORES}, {Q.TOP.format(8)} select * from top) group by 1),

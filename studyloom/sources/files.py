@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from studyloom.config import SUPPORTED_TASKS
 from studyloom.functions.text import clip, safe_id, strip
 from studyloom.operators.prompts import content_digest
+from studyloom.staging import stage
 
 ATOM = "id string, title string, text string, task_number int, subtypes array<string>, error_tags array<string>, prerequisites array<string>, shared_skills array<string>, ord int"
 TASK = "id string, task_number string, question string, problem_katex string, answer string"
@@ -75,12 +76,21 @@ def read_tasks(spark: SparkSession, path: str) -> DataFrame:
     return raw.where(number.isNotNull()).select(F.coalesce("id", F.lit("")).alias("task_id"), number.alias("task_number"), F.coalesce("question", F.lit("")).alias("question"), "problem_katex", strip(F.coalesce("answer", F.lit(""))).alias("answer"))
 
 
-def read_solutions(spark: SparkSession, path: str, per_user: int = 80) -> DataFrame:
-    """``task_number, problem, solution`` of solved tasks, the first few of each user."""
+def read_solutions(spark: SparkSession, path: str, tasks_csv: str | None = None, users: int = 80, per_user: int = 80, most: int = 2500, in_all: int = 3000) -> DataFrame:
+    """``task_number, problem, solution, source`` of solved tasks: the first few of the first users, then those of a table of tasks, up to totals.
+
+    Both files are ones that people keep, read in their order; the totals are the feature.
+    """
     schema = "user_id string, solutions array<struct<task_number:string,problem_katex:string,solution:string>>"
-    users = spark.read.schema(schema).option("multiLine", True).json(path)
-    one = users.select(F.explode(F.slice("solutions", 1, per_user)).alias("s"))
-    return one.select(F.col("s.task_number").try_cast("int").alias("task_number"), F.coalesce("s.problem_katex", F.lit("")).alias("problem"), F.coalesce("s.solution", F.lit("")).alias("solution"))
+    first = spark.read.schema(schema).option("multiLine", True).json(path).limit(users)
+    one = first.select(F.explode(F.slice("solutions", 1, per_user)).alias("s")).where("s is not null").limit(most)
+    solved = one.select(F.col("s.task_number").try_cast("int").alias("task_number"), F.coalesce("s.problem_katex", F.lit("")).alias("problem"), F.coalesce("s.solution", F.lit("")).alias("solution"), F.lit("archive_submission").alias("source"))
+    if tasks_csv is None:
+        return solved
+    bank = spark.read.csv(tasks_csv, header=True, encoding="UTF-8", multiLine=True, escape='"')
+    column = lambda c: F.coalesce(F.col(c), F.lit("")) if c in bank.columns else F.lit("")
+    more = bank.select(F.lit(None).cast("int").alias("task_number"), column("problem_katex").alias("problem"), column("solution").alias("solution"), F.lit("tasks_with_solutions").alias("source"))
+    return solved.unionByName(more.limit(max(0, in_all - solved.count())))
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -96,15 +106,26 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     """Stored profiles, one JSON a learner; missing maps are empty, missing numbers have their defaults."""
-    raw = spark.read.schema(PROFILE).option("multiLine", True).json(path)
+    raw = spark.read.schema(PROFILE).option("multiLine", True).option("recursiveFileLookup", True).json(path)
     maps = {c: F.coalesce(c, F.create_map().cast(t)) for c, t in (("attempts", "map<string,int>"), ("wrong", "map<string,int>"), ("error_scores", "map<string,double>"), ("skill_scores", "map<string,double>"))}
     rest = {"error_events": F.coalesce("error_events", F.array().cast(f"array<{EVENT}>")), "decay_half_life": F.coalesce("decay_half_life", F.lit(20.0)), "attempt_seq": F.coalesce("attempt_seq", F.lit(0))}
     return raw.withColumns(maps | rest)
 
 
-def write_profiles(profiles: DataFrame, path: str) -> None:
-    """Profiles as JSON below a folder of each (cleaned) learner id; the committer makes the change whole or not at all."""
-    profiles.withColumn("id", safe_id("student_id")).write.mode("overwrite").partitionBy("id").json(path)
+#: Folders that stored profiles are spread over.
+PROFILE_BUCKETS = 256
+
+
+def write_profiles(profiles: DataFrame, path: str, buckets: int = PROFILE_BUCKETS) -> None:
+    """Profiles as JSON lines in folders by a hash of the (cleaned) learner id; the committer makes the change whole or not at all."""
+    bucket = F.pmod(F.xxhash64(safe_id("student_id")), F.lit(buckets)).cast("int")
+    profiles.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").json(path)
+
+
+def read_profile(spark: SparkSession, path: str, student_id: str, buckets: int = PROFILE_BUCKETS) -> DataFrame:
+    """One learner's stored profile, from its folder alone."""
+    wanted = F.pmod(F.xxhash64(safe_id(F.lit(student_id))), F.lit(buckets)).cast("int")
+    return spark.read.schema(f"{PROFILE}, bucket int").json(path).where((F.col("bucket") == wanted) & (F.col("student_id") == student_id)).drop("bucket")
 
 
 def read_notes(spark: SparkSession, folder: str) -> DataFrame:
@@ -120,6 +141,14 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def upsert_vectors(documents: DataFrame, path: str, group: str = "task_number") -> None:
+    """Put documents into the index at ``path``: rows of known ids are replaced, others added; the new index takes the old one's place as a whole."""
+    spark = documents.sparkSession
+    old = spark.read.parquet(f"{path}/points")
+    merged = stage(old.join(documents.select("id"), "id", "left_anti").unionByName(documents, allowMissingColumns=True), "vectors")
+    write_vectors(merged, path, group)
+
+
 def write_vectors(documents: DataFrame, path: str, group: str = "task_number") -> None:
     """An index of documents with vectors, in a folder for each task, and the digest of its texts beside it."""
     digest = content_digest(documents, "id", "text", group)

@@ -1,7 +1,8 @@
 """Tables written to the cluster's shared folder, to cut lineage and to read a result more than once.
 
-The folder is the one named by ``spark.checkpoint.dir``. Only where that setting is absent (tests,
-a single machine) a temporary folder of this process is used. Files written there survive the
+The folder is the one named by ``spark.checkpoint.dir``. Only where that setting is absent on a single
+machine (master ``local``, as in tests) a temporary folder of this process is used; a cluster without it is an error,
+as each executor would write to a disk of its own. Files written there survive the
 loss of any executor; they are removed when the Python process ends, or by :func:`release`.
 """
 
@@ -15,13 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
 _own_root: list[str] = []
-_tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
     """Folder that all executors share, without a trailing slash."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own_root:
             _own_root.append("file://" + tempfile.mkdtemp(prefix="studyloom-"))
         named = _own_root[0]
@@ -43,19 +45,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_later(spark: SparkSession, table: str) -> None:
-    """Take a table out of the catalog when its files go."""
-    _tables.append((spark, table))
-
-
 def release(spark: SparkSession | None = None) -> None:
     """Remove everything written so far. DataFrames that still read it must not be used afterwards."""
-    while _tables:
-        session, table = _tables.pop()
-        try:
-            session.sql(f"drop table if exists {table}")
-        except Exception:  # the session may be gone already
-            break
     while _written:
         session, path = _written.pop()
         try:

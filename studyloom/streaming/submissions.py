@@ -72,11 +72,16 @@ def throughput(submissions: DataFrame, width: str = "1 minute", delay: str = "10
     return windows.select(F.col("window.start").alias("start"), "task_number", "n")
 
 
+#: How long the state of a submission is kept after its last change, in milliseconds.
+KEEP_MS = 7 * 24 * 3600 * 1000
 _STATUS = "submission_id string, status string, tags string, created_us long, diagnosed_us long, n_updates int"
 
 
 def _status(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Pending until tags come; a second creation starts it again, tags for an unknown id change nothing."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     status, tags, created, diagnosed, n = state.get if state.exists else (None, None, None, None, 0)
     rows = pd.concat(list(batches)).sort_values(["at_us", "kind"])
     for row in rows.itertuples():
@@ -89,17 +94,19 @@ def _status(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
         n += 1
     if status is not None:
         state.update((status, tags, created, diagnosed, n))
+        state.setTimeoutTimestamp(max(int(rows.at_us.max()) // 1000 + KEEP_MS, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"submission_id": pd.Series([key[0]], dtype=object), "status": pd.Series([status], dtype=object), "tags": pd.Series([tags], dtype=object), "created_us": pd.Series([created], dtype="Int64"), "diagnosed_us": pd.Series([diagnosed], dtype="Int64"), "n_updates": [n]})
 
 
-def status_store(changes: DataFrame) -> DataFrame:
+def status_store(changes: DataFrame, delay: str = "1 day") -> DataFrame:
     """The state of each submission after each batch of ``changes(submission_id, kind, tags, at_us)``; ``kind`` is ``created`` or ``tags``.
 
-    A change of one id is applied in order of its time; a batch's changes of one id are few.
+    A change of one id is applied in order of its time; a batch's changes of one id are few. A state without changes for
+    :data:`KEEP_MS` of event time is forgotten, so the store stays as large as the submissions of that time.
     """
     shape = "status string, tags string, created_us long, diagnosed_us long, n_updates int"
-    named = changes.where("submission_id is not null and submission_id <> ''")
-    return named.groupBy("submission_id").applyInPandasWithState(_status, _STATUS, shape, "update", GroupStateTimeout.NoTimeout)
+    named = changes.where("submission_id is not null and submission_id <> ''").withColumn("at", F.timestamp_micros("at_us")).withWatermark("at", delay)
+    return named.groupBy("submission_id").applyInPandasWithState(_status, _STATUS, shape, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def status_table(changes: DataFrame) -> DataFrame:
