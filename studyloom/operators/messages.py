@@ -161,7 +161,7 @@ class MessageStore:
 
         self.spark = spark
         path = path or new_path(spark, "messages")
-        self.path = path if "://" in path else f"file://{path}"
+        self.path = path if "://" in path else f"file://{path.removeprefix('file:')}"
         self._system, self._base = FileSystem.from_uri(self.path)
         self._system.create_dir(self._base, recursive=True)
         found = self._read()

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from studyloom.plans import data_queries, job_queries, profile_queries, retrieval_queries, text_queries
+from studyloom.plans import data_queries, job_queries, profile_queries, retrieval_queries, text_queries, tool_queries
 
-_MODULES = (profile_queries, text_queries, retrieval_queries, job_queries, data_queries)
+_MODULES = (profile_queries, text_queries, retrieval_queries, job_queries, data_queries, tool_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -153,3 +153,17 @@ def test_states_of_a_stream_equal_those_of_a_table(spark, tmp_path):
         last |= {r[0]: r for r in batch}
     assert sorted(last.values()) == sorted(map(tuple, S.status_table(df).collect()))
     assert last["a"][1:3] == ("pending", "") and last["d"][1:3] == ("done", "z") and "b" not in last
+
+
+def test_states_are_checked_and_jobs_end_in_them(spark):
+    now = F.lit("2026-04-01").cast("timestamp")
+    jobs = spark.createDataFrame([("a", "running", 0, None, "old"), ("b", "queued", 0, None, None), ("c", "failed", 2, "X", "old"), ("d", "failed", 2, "X", "old")], "job_id string, status string, retry_count int, error_code string, error_message string").withColumns({c: F.lit(None).cast("timestamp") for c in ("completed_at", "updated_at", "posted_at")})
+    done = {r.job_id: r for r in J.finished(jobs, F.lit(True), now).collect()}
+    assert [done[k].status for k in "abcd"] == ["done", "queued", "failed", "failed"]
+    lost = {r.job_id: r for r in J.failed(jobs, F.col("job_id") == "b", F.lit("E"), F.lit("why"), now).collect()}
+    assert (lost["b"].status, lost["b"].error_code, lost["b"].error_message, lost["a"].status) == ("failed", "E", "why", "running")
+    again = {r.job_id: (r.retry_count, r.error_message) for r in J.retried(jobs, F.col("status") == "failed", F.when(F.col("job_id") == "c", F.lit("n" * 600)), now).collect()}
+    assert again["c"] == (3, "n" * 500) and again["d"] == (3, "old") and again["a"] == (0, "old")
+    assert jobs.select(J.checked_state(F.col("status"))).count() == 4
+    with pytest.raises(Exception, match="no state of a job"):
+        jobs.select(J.checked_state(F.concat("status", F.lit("?")))).collect()

@@ -58,8 +58,29 @@ def test_profiles_round_trip(spark, tmp_path):
     assert (one.attempts, one.wrong, one.decay_half_life, one.attempt_seq, one.error_events) == ({"x": 2}, {}, 20.0, 0, [])
     files.write_profiles(df, str(tmp_path / "out"))
     files.write_profiles(df, str(tmp_path / "out"))
-    again = spark.read.schema(files.PROFILE).json(str(tmp_path / "out"))
-    assert [(r.student_id, r.attempts) for r in again.collect()] == [("archive_u1", {"x": 2})]
+    more = df.unionByName(df.withColumn("student_id", F.lit("archive_u2")))
+    files.write_profiles(more, str(tmp_path / "out"), buckets=4)
+    assert sorted(r.student_id for r in files.read_profiles(spark, str(tmp_path / "out")).collect()) == ["archive_u1", "archive_u2"]
+    assert [(r.student_id, r.attempts) for r in files.read_profile(spark, str(tmp_path / "out"), "archive_u2", buckets=4).collect()] == [("archive_u2", {"x": 2})]
+
+
+def test_solutions_of_users_and_of_a_table(spark, tmp_path):
+    solved = lambda n: {"task_number": str(n), "problem_katex": f"p{n}", "solution": "s"}
+    path = put(tmp_path / "s.json", [{"user_id": str(u), "solutions": [solved(10 * u + i) for i in range(4)]} for u in range(3)])
+    csv = put(tmp_path / "t.csv", "problem_katex,solution\na,b\n\"c,\nd\",e\nf,g\n")
+    assert files.read_solutions(spark, path, per_user=2).count() == 6
+    rows = files.read_solutions(spark, path, csv, users=2, per_user=3, most=5, in_all=7).collect()
+    assert [r.source for r in rows] == ["archive_submission"] * 5 + ["tasks_with_solutions"] * 2
+    assert (rows[-1].problem, rows[-1].task_number, rows[0].task_number) == ("c,\nd", None, 0)
+
+
+def test_vectors_are_put_over_older_ones(spark, tmp_path):
+    schema = "id string, text string, task_number int, dense array<float>"
+    path = str(tmp_path / "index")
+    files.write_vectors(spark.createDataFrame([("a", "x", 10, [1.0]), ("b", "y", 12, [2.0])], schema), path)
+    files.upsert_vectors(spark.createDataFrame([("b", "z", 12, [3.0]), ("c", "w", 10, [4.0])], schema), path)
+    assert sorted((r.id, r.text) for r in spark.read.parquet(f"{path}/points").collect()) == [("a", "x"), ("b", "z"), ("c", "w")]
+    assert files.is_fresh(spark.createDataFrame([("a", "x", 10, [1.0]), ("b", "z", 12, [3.0]), ("c", "w", 10, [4.0])], schema), path)
 
 
 def test_notes_with_and_without_meta(spark, tmp_path):
@@ -92,6 +113,58 @@ def test_a_model_that_fails_gives_errors_not_failures(spark):
     vectors = hooks.embed(spark.createDataFrame([(1, "a"), (2, None)], "id int, t string"), lambda ts: [[3.0, 4.0] for _ in ts], "id", "t")
     assert {r.id: r.vector for r in vectors.collect()} == {1: [0.6, 0.8], 2: None}
 
+    def picky(ts):
+        if "bad" in ts:
+            raise ValueError("no")
+        return [[1.0]] * len(ts)
+
+    texts = spark.createDataFrame([(1, "a"), (2, "bad"), (3, None), (4, "c")], "id int, t string").coalesce(1)
+    assert {r.id: (r.vector, r.error) for r in hooks.embed(texts, picky, "id", "t").collect()} == {1: ([1.0], None), 2: (None, "ValueError: no"), 3: (None, None), 4: ([1.0], None)}
+    short = {r.id: r.error for r in hooks.embed(texts.where("id = 1"), lambda ts: [], "id", "t").collect()}
+    assert short[1].startswith("ValueError")
+
+
+def test_deliveries_are_tried_again_under_one_key(spark):
+    rows = spark.createDataFrame([("ok", "u", "t", "{}"), ("busy", "u", None, "{}"), ("no", "u", None, "{}"), ("late", "u", None, "{}"), ("down", "u", None, "{}")], "job_id string, url string, token string, body string").coalesce(1)
+
+    def send(url, headers, body, seen={}):  # noqa: B006
+        key = headers["Idempotency-Key"]
+        seen[key] = seen.get(key, 0) + 1
+        assert ("Authorization" in headers) == (key == "ok")
+        if key == "down":
+            raise OSError("no network")
+        return {"ok": 204, "no": 404, "busy": 503}.get(key) or (429 if seen[key] < 2 else 200)
+
+    got = {r.job_id: (r.outcome, r.status, r.n_tries) for r in hooks.deliver(rows, send, "job_id", "url", "token", "body", pause=lambda s: None).collect()}
+    assert got == {"ok": ("delivered", 204, 1), "busy": ("transient", 503, 3), "no": ("permanent", 404, 1), "late": ("delivered", 200, 2), "down": ("transient", None, 3)}
+    assert hooks.deliver(rows.where("false"), send, "job_id", "url", "token", "body").collect() == []
+
+
+def test_submitted_answers(spark):
+    from studyloom.operators.submit import submit
+
+    bank = spark.createDataFrame([("t1", 10, "Насос наполняет бак", None, "2,5"), ("t2", 12, "f(x) = sin x", None, "1")], "task_id string, task_number int, question string, problem_katex string, answer string")
+    answers = spark.createDataFrame([(1, "s", 10, "t1", "2.5"), (2, "s", 10, "t1", "3"), (3, "s", 12, "t2", None), (4, "s", 6, "t2", "1"), (5, "s", 6, "no", "1"), (6, None, 6, None, None)], "submission_id long, student_id string, task_number int, task_id string, student_answer string")
+    found = spark.createDataFrame([(2, 1, "units_mismatch", 1.15), (2, 2, "deriv_sign_error", 1.15), (2, 3, "units_mismatch", 1.15), (1, 1, "units_mismatch", 1.15)], "submission_id long, place int, tag string, weight double")
+    got = {r.submission_id: r for r in submit(answers, bank, found).collect()}
+    assert (got[1].ok, got[1].tags, got[1].subtype, got[1].task_text) == (True, [], "joint_work", None)
+    assert (got[2].ok, got[2].tags, got[2].weights, got[2].correct_answer) == (False, ["units_mismatch"], {"units_mismatch": 1.15}, "2,5")
+    assert (got[3].ok, got[3].tags, got[3].subtype) == (False, ["unknown"], "trig")
+    assert [got[i].error for i in (1, 4, 5, 6)] == [None, "other_number", "unknown_task", "unknown_task"] and got[5].ok is None and got[5].tags is None
+    assert submit(answers.where("false"), bank, found).collect() == []
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from studyloom import staging
+
+    cluster = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            staging.shared_root(cluster(master))
+    assert staging.shared_root(cluster("local[4]")).startswith("file://")
+
 
 def test_tools(spark):
     from studyloom.operators import tools
