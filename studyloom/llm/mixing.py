@@ -44,7 +44,7 @@ STEPS = 10
 #: Weight of recorded sources against soft domains while fitting.
 RECORDED = 2.0
 #: Iterations with both sets of totals, and at most as many with recorded sources alone; these end when shares are within ``CLOSE``.
-BOTH_ROUNDS, LAST_ROUNDS, CLOSE = 12, 10, 1e-6
+BOTH_ROUNDS, LAST_ROUNDS, CLOSE = 12, 10, 1e-5
 #: Bins of the histograms that thresholds are found from.
 BINS = 2048
 #: Rounds that fill what long documents leave open, while it is more than this share of a source's tokens.
