@@ -7,6 +7,7 @@ letter table and isn't tried again. Receivers drop repeats by the submission's i
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -72,41 +73,60 @@ def throughput(submissions: DataFrame, width: str = "1 minute", delay: str = "10
     return windows.select(F.col("window.start").alias("start"), "task_number", "n")
 
 
-#: How long the state of a submission is kept after its last change, in milliseconds.
-KEEP_MS = 7 * 24 * 3600 * 1000
+#: How long the state of a submission is kept after its last change, and how much later a block without changes is cleared of it, in milliseconds.
+KEEP_MS, SWEEP_MS = 7 * 24 * 3600 * 1000, 3600 * 1000
+#: Blocks of ids that have their states in common; a checkpoint goes on with as many as it began with.
+BLOCKS = 4096
 _STATUS = "submission_id string, status string, tags string, created_us long, diagnosed_us long, n_updates int"
+_NO_TIME = -(1 << 63)
+
+
+def _in_order(change: tuple) -> tuple:
+    at, kind, tags, _ = change
+    return at, kind or "", tags is not None, tags or ""
 
 
 def _status(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Pending until tags come; a second creation starts it again, tags for an unknown id change nothing."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    status, tags, created, diagnosed, n = state.get if state.exists else (None, None, None, None, 0)
-    rows = pd.concat(list(batches)).sort_values(["at_us", "kind"])
-    for row in rows.itertuples():
-        if row.kind == "created":
-            status, tags, created, diagnosed = "pending", "", int(row.at_us), None
-        elif status is not None:
-            status, tags, diagnosed = "done", row.tags, int(row.at_us)
+    """States of a block of ids. Pending until tags come; a second creation starts it again, tags for an unknown id change nothing."""
+    now = state.getCurrentWatermarkMs()
+    # id: status, tags, created, diagnosed, number of updates, when it is forgotten
+    known = {k: v for k, v in json.loads(state.get[0]).items() if v[5] >= now} if state.exists else {}
+    changes = [c for b in batches for c in zip(b.at_us.tolist(), b.kind.tolist(), b.tags.tolist(), b.submission_id.tolist())]
+    changed = {}
+    for at, kind, tags, name in sorted(changes, key=_in_order):
+        when = None if at == _NO_TIME else at
+        old = known.get(name)
+        if kind == "created":
+            new = ["pending", "", when, None]
+        elif old is not None:
+            new = ["done", tags, old[2], when]
         else:
             continue
-        n += 1
-    if status is not None:
-        state.update((status, tags, created, diagnosed, n))
-        state.setTimeoutTimestamp(max(int(rows.at_us.max()) // 1000 + KEEP_MS, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"submission_id": pd.Series([key[0]], dtype=object), "status": pd.Series([status], dtype=object), "tags": pd.Series([tags], dtype=object), "created_us": pd.Series([created], dtype="Int64"), "diagnosed_us": pd.Series([diagnosed], dtype="Int64"), "n_updates": [n]})
+        n, until = (old[4], old[5]) if old else (0, now + 1)
+        known[name] = changed[name] = [*new, n + 1, max(until, now + 1, at // 1000 + KEEP_MS)]
+    if known:
+        state.update((json.dumps(known),))
+        state.setTimeoutTimestamp(max(min(v[5] for v in known.values()) + SWEEP_MS, now + 1))
+    elif state.exists:
+        state.remove()
+    if changed:
+        status, tags, created, diagnosed, n, _ = zip(*changed.values())
+        yield pd.DataFrame({"submission_id": pd.Series(list(changed), dtype=object), "status": pd.Series(status, dtype=object), "tags": pd.Series(tags, dtype=object), "created_us": pd.Series(created, dtype="Int64"), "diagnosed_us": pd.Series(diagnosed, dtype="Int64"), "n_updates": n})
 
 
 def status_store(changes: DataFrame, delay: str = "1 day") -> DataFrame:
     """The state of each submission after each batch of ``changes(submission_id, kind, tags, at_us)``; ``kind`` is ``created`` or ``tags``.
 
-    A change of one id is applied in order of its time; a batch's changes of one id are few. A state without changes for
-    :data:`KEEP_MS` of event time is forgotten, so the store stays as large as the submissions of that time.
+    A batch's changes of one id are applied in order of their time. States are kept by blocks of ids (:data:`BLOCKS`), as a call
+    of Python for each id takes milliseconds. A state without changes for :data:`KEEP_MS` of event time is forgotten, so the
+    store stays as large as the submissions of that time.
     """
-    shape = "status string, tags string, created_us long, diagnosed_us long, n_updates int"
-    named = changes.where("submission_id is not null and submission_id <> ''").withColumn("at", F.timestamp_micros("at_us")).withWatermark("at", delay)
-    return named.groupBy("submission_id").applyInPandasWithState(_status, _STATUS, shape, "update", GroupStateTimeout.EventTimeTimeout)
+    # A watermark begins at 1970 and takes what is not after it for late, a null never.
+    at = F.when(F.col("at_us") > 0, F.timestamp_micros("at_us"))
+    named = changes.where("submission_id is not null and submission_id <> ''").withColumn("at", at).withWatermark("at", delay)
+    block = F.pmod(F.xxhash64("submission_id"), F.lit(BLOCKS)).cast("int")
+    rows = named.select(block.alias("block"), "submission_id", "kind", "tags", F.coalesce("at_us", F.lit(_NO_TIME)).alias("at_us"), "at")
+    return rows.groupBy("block").applyInPandasWithState(_status, _STATUS, "states string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def status_table(changes: DataFrame) -> DataFrame:

@@ -167,3 +167,37 @@ def test_states_are_checked_and_jobs_end_in_them(spark):
     assert jobs.select(J.checked_state(F.col("status"))).count() == 4
     with pytest.raises(Exception, match="no state of a job"):
         jobs.select(J.checked_state(F.concat("status", F.lit("?")))).collect()
+
+
+def states_of(spark, tmp_path, parts):
+    """What a stream of files gives, state by state, and how many rows its store holds in the end."""
+    shape = "submission_id string, kind string, tags string, at_us long"
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = []
+    stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = S.status_store(stream).writeStream.outputMode("update").foreachBatch(lambda b, n: out.extend(tuple(r) for r in b.collect())).option("checkpointLocation", str(tmp_path / "m")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return out, query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
+def test_states_are_kept_by_blocks(spark, tmp_path, monkeypatch):
+    """A call of Python for each id made the store end by time over large tables."""
+    monkeypatch.setattr(S, "BLOCKS", 8, raising=False)
+    first = [(f"s{i}", "created", "", 2 * i) for i in range(3000)] + [("s0", "tags", None, 1), ("s1", "tags", "b", 9), ("s1", "tags", "a", 9), ("s2", "created", "", None)]
+    second = [(f"s{i}", "tags", f"t{i}", 9000 + i) for i in range(0, 4000, 3)]
+    out, rows = states_of(spark, tmp_path, [first, second])
+    want = S.status_table(spark.createDataFrame(first + second, "submission_id string, kind string, tags string, at_us long"))
+    assert sorted({r[0]: r for r in out}.values(), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert rows == 8
+
+
+@pytest.mark.parametrize("blocks", [1, 64])
+def test_states_are_forgotten(spark, tmp_path, monkeypatch, blocks):
+    monkeypatch.setattr(S, "BLOCKS", blocks, raising=False)
+    day = 24 * 3600 * 1_000_000
+    parts = [[("a", "created", "", day), ("b", "created", "", day)], [("b", "tags", "x", 5 * day)], [("c", "created", "", 10 * day)], [("a", "tags", "y", 10 * day), ("b", "tags", "z", 10 * day)], [("d", "created", "", 40 * day)]]
+    out, rows = states_of(spark, tmp_path, parts)
+    want = [("a", "pending", "", day, None, 1), ("b", "pending", "", day, None, 1), ("b", "done", "x", day, 5 * day, 2), ("b", "done", "z", day, 10 * day, 3), ("c", "pending", "", 10 * day, None, 1), ("d", "pending", "", 40 * day, None, 1)]
+    assert sorted(out, key=lambda r: (r[0], r[5])) == want
+    assert rows == 1
