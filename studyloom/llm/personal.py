@@ -14,10 +14,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from studyloom.llm.name_model import NameModel, fit_names
+from studyloom.llm.name_model import FoundPlace, NameModel, fit_on_runs, label_of, names_in_runs, places, small_words, word_hash
 from studyloom.llm.names import parts
 
 KINDS = ("email", "phone", "id_number", "address", "name")
@@ -336,12 +337,16 @@ def _english_names(text: str) -> Iterator[tuple[int, int]]:
 # --- all kinds ---
 
 
-def _spans(view: str, model: NameModel | None = None) -> list[tuple[int, int, str]]:
-    """Start, end and kind of the items of a reading form, without overlaps."""
+def _free(spans: list[tuple[int, int, str]], a: int, b: int) -> bool:
+    return all(b <= x or y <= a for x, y, _ in spans)
+
+
+def _rule_spans(view: str) -> list[tuple[int, int, str]]:
+    """Start, end and kind of what the rules find in a reading form, without overlaps."""
     spans: list[tuple[int, int, str]] = []
 
     def free(a: int, b: int) -> bool:
-        return all(b <= x or y <= a for x, y, _ in spans)
+        return _free(spans, a, b)
 
     def add(kind: str, a: int, b: int) -> None:
         if free(a, b):
@@ -377,9 +382,11 @@ def _spans(view: str, model: NameModel | None = None) -> list[tuple[int, int, st
                 ahead = view[max(0, a - 30) : a]
                 if not _NO_PHONE.search(ahead) or _PHONE_AFTER_EQUALS.search(ahead):
                     add("phone", a, b)
-    if model is not None:
-        for a, b in model.names(view):
-            add("name", a, b)
+    return spans
+
+
+def _begun(view: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The spans in order, each from its first letter or digit on."""
     out = []
     for a, b, kind in sorted(spans):
         while a < b and not view[a].isalnum():
@@ -388,6 +395,16 @@ def _spans(view: str, model: NameModel | None = None) -> list[tuple[int, int, st
     return out
 
 
+def _spans(view: str, model: NameModel | None = None) -> list[tuple[int, int, str]]:
+    """Start, end and kind of the items of a reading form, without overlaps."""
+    spans = _rule_spans(view)
+    if model is not None:
+        for a, b in model.names(view):
+            if _free(spans, a, b):
+                spans.append((a, b, "name"))
+    return _begun(view, spans)
+
+
 def find_items(text: str | None, model: NameModel | None = None) -> list[Item]:
     """Items of a text in order, without overlaps; none for null or empty text. ``model`` adds names that the rules don't know."""
     if not text:
@@ -396,6 +413,39 @@ def find_items(text: str | None, model: NameModel | None = None) -> list[Item]:
     return [Item(kind, reading.original(a), reading.original(b - 1) + 1, reading.view[a:b]) for a, b, kind in _spans(reading.view, model)]
 
 
-def fit_name_model(rows: DataFrame) -> NameModel | None:
-    """The classifier of names fitted on a bounded sample of ``rows(key, text)``; see :mod:`studyloom.llm.name_model`."""
-    return fit_names(rows, _spans, lambda text: reading_form(text).view)
+# --- tables of texts ---
+
+_READ = pa.schema([("key", pa.int64()), ("kind", pa.string()), ("start_pos", pa.int32()), ("end_pos", pa.int32()), ("item", pa.string()), ("run", pa.string()), ("hashes", pa.list_(pa.int64()))])
+
+
+def _reader(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``key, text`` to :func:`read_texts`."""
+    for batch in it:
+        rows, views = [], []
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if not text:
+                continue
+            reading = reading_form(text)
+            view, spans = reading.view, _rule_spans(reading.view)
+            begun = _begun(view, spans)
+            views.append(view)
+            rows += [(key, kind, reading.original(a), reading.original(b - 1) + 1, view[a:b], None, None) for a, b, kind in begun]
+            for place in places(view):
+                end = place.end
+                more = {skip: (label_of(a, end, begun), _free(spans, a, end), reading.original(a), view[a:end]) for skip, (a, _) in place.options.items()}
+                rows.append((key, None, None, None, None, FoundPlace(place, more, reading.original(end - 1) + 1).dumps(), list({word_hash(w) for w in place.words})))
+        rows.append((None, None, None, None, None, None, list(small_words(views))))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _READ)], schema=_READ)
+
+
+def read_texts(rows: DataFrame) -> DataFrame:
+    """What is read once of all ``rows(key, text)``: items by rules (with ``kind``), capitalised runs (with ``run``) and the words of small letters."""
+    return rows.mapInArrow(_reader, "key long, kind string, start_pos int, end_pos int, item string, run string, hashes array<long>")
+
+
+def names_of_model(read: DataFrame) -> DataFrame | None:
+    """``key, kind, start_pos, end_pos, item`` of names that the rules don't know, by a classifier fitted on all of ``read``; None if there is too little to learn from."""
+    model = fit_on_runs(read)
+    if model is None:
+        return None
+    return read.where("run is not null").select("key", "run").mapInArrow(names_in_runs(model), "key long, kind string, start_pos int, end_pos int, item string")

@@ -27,9 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studyloom.llm.name_model import NameModel
 from studyloom.llm.names import ENGLISH_FEMALE, ENGLISH_MALE, FEMALE, MALE, given, parts, split_patronymic, split_surname
-from studyloom.llm.personal import Item, find_items, fit_name_model
+from studyloom.llm.personal import Item, names_of_model, read_texts
 from studyloom.staging import stage
 
 _CONSONANTS, _VOWELS = "бвгдзклмнпрстфхшч", "аеоуи"
@@ -244,18 +243,6 @@ def redact(text: str, items: list[Item], key: bytes, words: dict[str, str]) -> s
 
 # --- DataFrames ---
 
-_FOUND = pa.schema([("key", pa.int64()), ("kind", pa.string()), ("start_pos", pa.int32()), ("end_pos", pa.int32()), ("item", pa.string())])
-
-
-def _found(model: NameModel | None):
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            rows = [(key, i.kind, i.start, i.end, i.text) for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i in find_items(text, model)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 5, _FOUND)], schema=_FOUND)
-
-    return run
-
-
 def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
 
@@ -304,11 +291,13 @@ def surrogate_items(df: DataFrame, key: str, text: str, secret: bytes, model: bo
     """``<key>, kind, start_pos, end_pos, item, replacement`` of each item of each text; none for null and empty texts.
 
     Repeated rows repeat their items. ``model`` says whether names are also looked for by the classifier that is
-    fitted on a sample of the texts. Replacements are made once for each different item.
+    fitted on all texts. Replacements are made once for each different item.
     """
     rows = _rows(df, key, text)
-    fitted = fit_name_model(rows) if model else None
-    items = stage(rows.mapInArrow(_found(fitted), "key long, kind string, start_pos int, end_pos int, item string"), "items")
+    read = stage(read_texts(rows), "items")
+    items = read.where("kind is not null").select("key", "kind", "start_pos", "end_pos", "item")
+    if model and (names := names_of_model(read)) is not None:
+        items = items.unionByName(stage(names, "names"))
     different = stage(items.select("kind", "item").distinct(), "different-items")
     opened = stage(different.mapInArrow(_open_words, "kind string, item string, word string"), "open-words")
     pairs = opened.join(drawn_words(opened, secret), "word").groupBy("kind", "item").agg(F.map_from_entries(F.collect_list(F.struct("word", "drawn"))).alias("words"))  # the words of one item

@@ -5,11 +5,14 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from studyloom.llm.name_model import fit_on_texts
+from studyloom.llm import name_model
+from studyloom.llm.name_model import fit_on_runs, fit_on_texts, names_in_runs
 from studyloom.llm.names import ENGLISH_FEMALE, ENGLISH_MALE, FEMALE, MALE
-from studyloom.llm.personal import _spans, find_items, reading_form
+from studyloom.llm.personal import _spans, find_items, read_texts, reading_form
 from studyloom.llm.surrogates import drawn, drawn_words, open_words, permuted_digits, personal_items, redact, redact_texts, replacement, surrogate_items
 
 KEY = b"test"
@@ -209,3 +212,52 @@ def test_names_outside_the_lists():
     hits = sum([(i.kind, i.text) for i in find_items(rng.choice(around).format(name), model)] == [("name", name)] for _, name in unseen)
     assert hits >= 90
     assert not any(find_items(t, model) for t in places)
+
+
+def texts_with_names(n, seed=5):
+    """Texts that the rules label, and names outside the lists."""
+    rng = random.Random(seed)
+    made = lambda: rng.choice("БВГДКЛМНПРСТ") + rng.choice("аеио") + "".join(rng.choice("бвгдклмнпрст") + rng.choice("аеиоу") for _ in range(2)) + rng.choice("вдлнрт") + rng.choice(["ов", "ев", "ин", "ова", "ина"])
+    around = ["Пишет {}, мама ученика.", "С уважением, {}", "Звонила {} вчера.", "Репетитор: {}, тел. нет"]
+    given_names = [w.capitalize() for w in sorted([*MALE, *FEMALE])[::3]]
+    others = ["Едем в Тихие Дюны завтра.", "Кружок «Осенний Марафон» открыт.", "Город Малая Полынная рядом.", "Станция Озёрная Гать закрыта.", "Тихие дюны. Осенний Марафон Идёт", "Почта a.b@mail.example, Вера Павловна Сидорова"]
+    return [rng.choice(around).format(f"{rng.choice(given_names)} {made()}") for _ in range(n)] + [rng.choice(others) for _ in range(n)], [rng.choice(around).format(f"{w} {made()}") for w in ("Нурсултан", "Гульнара", "Мухаммад", "Айгерим") for _ in range(10)]
+
+
+def test_long_texts_teach_names_too(spark):
+    """A sample of texts of at most 4,000 characters once decided which names the classifier knows."""
+    known, unseen = texts_with_names(300)
+    rows = [(i, "слово " * 700 + "\n" + t) for i, t in enumerate(known + unseen[::4])]
+    found = personal_items(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", KEY).collect()
+    assert len({r.doc_id for r in found if r.doc_id >= len(known) and r.kind == "name"}) >= 7
+    assert all(rows[r.doc_id][1][r.start_pos].isupper() for r in found if r.kind == "name")
+
+
+def test_the_fit_over_a_table_is_that_over_its_texts(spark):
+    known, unseen = texts_with_names(200)
+    # Nothing is left out in a table of many texts: each copy counts as in a list.
+    texts = known * 2 + known[:50] * 30
+    one = fit_on_texts([reading_form(t).view for t in texts], _spans)
+    read = read_texts(spark.createDataFrame(list(enumerate(texts)), "key long, text string").repartition(5)).persist()
+    all_ = fit_on_runs(read)
+    assert abs(one.weights - all_.weights).max() < 1e-3 and abs(one.bias - all_.bias) < 1e-3 and abs(one.threshold - all_.threshold) < 3e-3
+    table = read_texts(spark.createDataFrame(list(enumerate(unseen)), "key long, text string"))
+    got = {(r.key, r.start_pos, r.end_pos) for r in table.where("run is not null").select("key", "run").mapInArrow(names_in_runs(all_), "key long, kind string, start_pos int, end_pos int, item string").collect()}
+    assert got == {(k, i.start, i.end) for k, t in enumerate(unseen) for i in find_items(t, all_) if i.kind == "name"} and len(got) >= 36
+
+
+def test_rows_are_fitted_a_chunk_at_a_time(monkeypatch):
+    rng = random.Random(6)
+    rows = [{"spelling": [rng.randrange(50)], "general": [60 + (i % 3)], "around": [70 + i % 2, 90 + rng.randrange(9)], "label": i % 2, "weight": 1.0, "n": 1, "fit": i // 650} for i in range(950)]
+    batches = pa.Table.from_pylist(rows).to_batches(max_chunksize=300)
+    for size in (10_000, 100):
+        monkeypatch.setattr(name_model, "CHUNK_ROWS", size)
+        assert [t.num_rows for t in name_model._in_chunks(iter(batches))] == ([650, 300] if size > 950 else [100] * 6 + [50] + [100] * 3)
+        fits = [(b.column(0)[0].as_py(), np.frombuffer(b.column(1)[0].as_py())) for b in name_model._fit_rows(iter(batches))]
+        assert [fit for fit, _ in fits] == [0, 1]
+        assert all(weights[71] > 1 and weights[70] < -1 and abs(weights[60:63]).max() < 1 for _, weights in fits)
+
+
+def test_small_words_count_in_every_text():
+    words = ["дом", "д", "Дом", "x1", "по-русски", "ёлка.", "(кот)", "iPhone"]
+    assert name_model.small_words([" ".join(words[:4]), "\n".join(words[4:])]) == {name_model.word_hash(w) for w in ("дом", "по", "русски", "елка", "кот")}
