@@ -16,8 +16,9 @@
 Documents without a source or of a source that isn't listed have rate 0, since every token of the
 mix has to belong to a listed source; how many tokens of them read like each source is reported. The mix
 is as large as the scarcest listed source allows when each of its documents is taken ``max_repeats``
-times, unless a smaller size is asked for. Listed sources are a setting and are read on the driver; what
-grows with the documents isn't.
+times, unless a smaller size is asked for. Listed sources are a setting and are read on the driver, and so are a few
+numbers for each of them (sums of a round, thresholds), which go into the next step's expressions; what grows with the
+documents isn't. Joins with tables of a row a source would cost the driver a hash table and a thread each.
 """
 
 from __future__ import annotations
@@ -169,11 +170,15 @@ def fit_classifier(documents: DataFrame, domains: list[str], name: str = "byte_b
 _SOFT = pa.list_(pa.struct([("place", pa.int32()), ("n", pa.int32())]))
 
 
-def described(documents: DataFrame, classifier: Classifier, name: str, folder: str) -> DataFrame:
-    """``doc_id, source, n_tokens, soft`` with the posterior over domains in steps of 1/:data:`STEPS`, without those of 0."""
+def described(documents: DataFrame, names: list[str], classifier: Classifier, name: str, folder: str) -> DataFrame:
+    """``doc_id, source, place, n_tokens, soft`` with the posterior over domains in steps of 1/:data:`STEPS`, without those of 0.
+
+    ``place`` is that of the listed source, and the one after the last for no source or another one.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, domains = tokenizer(name, folder), classifier.domains.astype(np.int32)
+        listed = {n: i for i, n in enumerate(names)}
         some = max(1, min(BATCH, CELLS // max(1, len(domains))))
         for whole in it:
             for at in range(0, whole.num_rows, some):
@@ -184,10 +189,11 @@ def described(documents: DataFrame, classifier: Classifier, name: str, folder: s
                 row, column = np.nonzero(soft)
                 offsets = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
                 cells = pa.StructArray.from_arrays([pa.array(domains[column]), pa.array(soft[row, column])], fields=list(_SOFT.value_type))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.ListArray.from_arrays(offsets, cells)], ["doc_id", "source", "n_tokens", "soft"])
+                place = pa.array([listed.get(s, len(names)) for s in batch.column(1).to_pylist()], pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), place, pa.array(sizes), pa.ListArray.from_arrays(offsets, cells)], ["doc_id", "source", "place", "n_tokens", "soft"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, source string, n_tokens long, soft array<struct<place: int, n: int>>")
+    return documents.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, source string, place int, n_tokens long, soft array<struct<place: int, n: int>>")
 
 
 # --- rates ---
@@ -196,7 +202,6 @@ def described(documents: DataFrame, classifier: Classifier, name: str, folder: s
 class Steps(NamedTuple):
     """All that a task needs to replay the projected gradient; a few numbers for each listed source."""
 
-    names: list[str]
     caps: np.ndarray
     supply: np.ndarray  # tokens of each recorded source over the size of the mix
     soft_supply: np.ndarray  # and of each soft domain
@@ -236,14 +241,13 @@ class Membership:
 
 
 def _rate_batches(steps: Steps):
-    """Append the rate to batches of ``doc_id, source, n_tokens, soft``."""
-    place = {n: i for i, n in enumerate(steps.names)}
+    """Append the rate to batches of ``doc_id, source, place, n_tokens, soft``."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            source = np.array([place[s] for s in batch.column("source").to_pylist()], np.int64)
+            source = batch.column("place").to_numpy().astype(np.int64)
             rates = steps.rates(source, Membership(batch.column("soft"))) if batch.num_rows else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates, pa.float64())], ["doc_id", "source", "n_tokens", "soft", "rate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates, pa.float64())], ["doc_id", "source", "place", "n_tokens", "soft", "rate"])
 
     return run
 
@@ -251,37 +255,37 @@ def _rate_batches(steps: Steps):
 def _totals(groups: DataFrame, steps: Steps) -> np.ndarray:
     """At the present rates, four rows with a number for each place: tokens by soft domain and by recorded source, and
     the tokens of each source's documents whose rates can still rise, and can fall.
+
+    Each task over the groups sends one row of 32 bytes a place; there is no exchange.
     """
-    place = {n: i for i, n in enumerate(steps.names)}
-    width = len(place) + 1
+    width = len(steps.caps) + 1
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((4, width))
         for batch in it:
             if not batch.num_rows:
                 continue
-            source = np.array([place[s] for s in batch.column(0).to_pylist()], np.int64)
+            source = batch.column(0).to_numpy().astype(np.int64)
             member = Membership(batch.column(1))
             rates, tokens = steps.rates(source, member, ahead=True), batch.column(2).to_numpy()
             sums[0] += member.totals(rates * tokens, width)
             for row, weight in ((1, rates), (2, rates < steps.caps[source]), (3, rates > 0)):
                 sums[row] += np.bincount(source, weight * tokens, width)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), *map(pa.array, sums)], ["place", "soft", "hard", "up", "down"])
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
 
-    rows = groups.mapInArrow(run, "place long, soft double, hard double, up double, down double").groupBy("place").sum("soft", "hard", "up", "down").collect()  # one row a listed source
     out = np.zeros((4, width))
-    for at, *sums in rows:
-        out[:, at] = sums
+    for r in groups.mapInArrow(run, "sums binary").collect():
+        out += np.frombuffer(r.sums).reshape(4, width)
     return out
 
 
 def fit_rates(groups: DataFrame, targets: Targets, total_tokens: float | None = None) -> tuple[Steps, float, np.ndarray]:
-    """Projected gradient over ``groups(source, soft, n_tokens)`` of listed sources: the steps, the size of the mix, and the shares aimed at.
+    """Projected gradient over ``groups(place, soft, n_tokens)`` of listed sources: the steps, the size of the mix, and the shares aimed at.
 
     Shares of sources without tokens or repeats are given to the others in proportion.
     """
     ones = np.ones(len(targets.names))
-    every = Steps(targets.names, ones, ones, ones, ones, [], [], [])
+    every = Steps(ones, ones, ones, ones, [], [], [])
     soft_tokens, tokens = _totals(groups, every)[:2]
     tokens = tokens[:-1]
     usable = (tokens * targets.repeats > 0) & (targets.shares > 0)
@@ -294,7 +298,7 @@ def fit_rates(groups: DataFrame, targets: Targets, total_tokens: float | None =
     supply = np.where(usable, tokens / size, 1.0)
     caps = np.where(usable, targets.repeats, 0.0)
     start = np.where(usable, np.minimum(np.minimum(1.0, caps), aim / supply), 0.0)
-    steps = Steps(targets.names, caps, supply, soft_tokens / size, start, [], [], [])
+    steps = Steps(caps, supply, soft_tokens / size, start, [], [], [])
     wanted = np.append(aim, 0.0)
     for k in range(BOTH_ROUNDS + LAST_ROUNDS):
         soft, hard, up, down = _totals(groups, steps) / size
@@ -316,57 +320,62 @@ def _uniform(seed: int) -> Column:
     return (F.xxhash64("doc_id", F.lit(seed)).bitwiseAND(2**52 - 1) + 0.5) / 2.0**52
 
 
-def _histogram(rated: DataFrame, edges: DataFrame) -> DataFrame:
-    """Of ``edges(source, low, high, wanted)``, the bin of each source in which its tokens pass ``wanted``: ``source, low, step, bin, n, wanted, before, every``.
+def _by_place(of_place: np.ndarray) -> Column:
+    """A row's number among those of all listed sources."""
+    return F.get(F.lit(of_place.tolist()).cast("array<double>"), F.col("place"))
 
-    ``bin`` is null where they never do. A source has at most :data:`BINS` bins, so the window is short.
+
+def _passed(rated: DataFrame, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Of each source's scores from ``low`` to ``high``, the bin in which its tokens pass ``wanted``: rows ``bin, n, before, every`` with a number for each place.
+
+    ``bin`` is -1 where they never do. A source has at most :data:`BINS` bins, so the window is short.
     """
-    e = edges.select(F.col("source").alias("e_"), "low", "high")
-    inside = rated.join(e, F.col("source") == F.col("e_")).where("score >= low and score < high")
-    place = F.least(F.floor((F.col("score") - F.col("low")) / (F.col("high") - F.col("low")) * BINS), F.lit(BINS - 1)).cast("int")
-    bins = inside.groupBy("source", place.alias("bin")).agg(F.sum("n_tokens").alias("n"))
-    so_far = F.sum("n").over(Window.partitionBy("source").orderBy("bin"))
-    summed = bins.withColumn("so_far", so_far).join(edges.select(F.col("source").alias("w_"), "wanted"), F.col("source") == F.col("w_"))
-    passing = F.when(F.col("so_far") > F.col("wanted"), F.struct("bin", "n", (F.col("so_far") - F.col("n")).alias("before")))
-    found = summed.groupBy("source").agg(F.min(passing).alias("at"), F.sum("n").alias("every")).withColumnRenamed("source", "s_")
-    return edges.join(found, F.col("source") == F.col("s_"), "left").select("source", "low", ((F.col("high") - F.col("low")) / BINS).alias("step"), "at.bin", "at.n", "wanted", "at.before", F.coalesce("every", F.lit(0)).alias("every"))
+    score, begin, end = F.col("score"), _by_place(low), _by_place(high)
+    inside = rated.where((score >= begin) & (score < end))
+    bins = inside.groupBy("place", F.least(F.floor((score - begin) / (end - begin) * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).agg(F.sum("n_tokens").alias("n"))
+    summed = bins.withColumn("so_far", F.sum("n").over(Window.partitionBy("place").orderBy("bin")))
+    passing = F.when(F.col("so_far") > _by_place(wanted), F.struct("bin", "n", (F.col("so_far") - F.col("n")).alias("before")))
+    found = summed.groupBy("place").agg(F.min(passing).alias("at"), F.sum("n").alias("every"))
+    out = np.zeros((4, len(low)))
+    out[0] = -1
+    for r in found.select("place", "at.*", "every").collect():  # one row a listed source
+        out[:, r.place] = (-1, 0, 0, r.every) if r.bin is None else (r.bin, r.n, r.before, r.every)
+    return out
 
 
-def _threshold(rated: DataFrame, wanted: DataFrame, nearest: bool) -> DataFrame:
-    """For each ``source, wanted`` a score below which its documents have together up to ``wanted`` tokens (or come nearest): ``source, cut, wanted`` with what is left.
+def _threshold(rated: DataFrame, wanted: np.ndarray, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each source a score below which its documents have together up to ``wanted`` tokens (or come nearest), and what is left.
 
     Two histograms of :data:`BINS` bins for each source, the second inside one bin of the first.
     """
-    first = stage(_histogram(rated, wanted.select("source", F.lit(0.0).alias("low"), F.lit(1.0).alias("high"), "wanted")), "bins")
-    inner = first.where("bin is not null").select("source", (F.col("low") + F.col("bin") * F.col("step")).alias("low"), (F.col("low") + (F.col("bin") + 1) * F.col("step")).alias("high"), (F.col("wanted") - F.col("before")).alias("wanted"))
-    second = _histogram(rated, inner)
-    left = F.col("wanted") - F.coalesce("before", "every")
-    over = F.lit(nearest) & F.col("bin").isNotNull() & (F.col("n") - left < left)
-    at = F.coalesce("bin", F.lit(BINS)) + F.when(over, 1).otherwise(0)
-    cuts = second.select("source", (F.col("low") + at * F.col("step")).alias("cut"), F.when(over, left - F.col("n")).otherwise(left).alias("wanted"))
-    every = first.where("bin is null").select("source", F.lit(1.0).alias("cut"), (F.col("wanted") - F.col("every")).alias("wanted"))
-    return cuts.unionByName(every)
-
-
-def _taken(rated: DataFrame, wanted: DataFrame) -> DataFrame:
+    bin_, _, before, every = _passed(rated, np.zeros(len(wanted)), np.ones(len(wanted)), wanted)
+    inner, step = bin_ >= 0, 1 / BINS
+    if not inner.any():
+        return np.ones(len(wanted)), wanted - every
+    low, high = np.where(inner, bin_ * step, 2.0), np.where(inner, (bin_ + 1) * step, 3.0)  # scores are below 1
+    wanted_inside = wanted - before
+    at, n, before, inside = _passed(rated, low, high, wanted_inside)
+    left = wanted_inside - np.where(at >= 0, before, inside)
+    over = nearest & (at >= 0) & (n - left < left)
+    cut = low + (np.where(at >= 0, at, BINS) + over) * ((high - low) / BINS)
+    return np.where(inner, cut, 1.0), np.where(inner, left - over * n, wanted - every)
+
+
+def _taken(rated: DataFrame, wanted: np.ndarray, least: np.ndarray) -> DataFrame:
     """``rated`` with ``extra``: whether a document with a ``score`` is taken once more, so that each source comes to ``wanted`` tokens.
 
     A long document at the threshold may leave a gap; later rounds fill it with shorter ones.
     """
-    chosen = rated.withColumn("extra", F.lit(False))
-    least = wanted.select(F.col("source").alias("l_"), "least")
-    wanted = wanted.select("source", "wanted").where("wanted >= 1")
+    extra, open_ = F.lit(False), wanted >= 1
     for k in range(FILL_ROUNDS):
-        fits = F.lit(True) if k == 0 else F.col("n_tokens") <= F.col("gap_")
-        gaps = wanted.select(F.col("source").alias("g_"), F.col("wanted").alias("gap_"))
-        open_ = chosen.where("not extra and score is not null").join(gaps, F.col("source") == F.col("g_")).where(fits)
-        cuts = stage(_threshold(open_.select("source", "score", "n_tokens"), wanted, k + 1 == FILL_ROUNDS), "cuts")
-        limits = cuts.join(gaps, F.col("source") == F.col("g_")).select("g_", "gap_", "cut")
-        chosen = chosen.join(limits, F.col("source") == F.col("g_"), "left").withColumn("extra", F.col("extra") | F.coalesce(fits & (F.col("score") < F.col("cut")), F.lit(False))).drop("g_", "gap_", "cut")
-        wanted = cuts.join(least, F.col("source") == F.col("l_")).where("wanted >= least").select("source", "wanted")
-        if wanted.isEmpty():
+        if not open_.any():
             break
-    return chosen
+        gap = _by_place(np.where(open_, wanted, 0.0))
+        fits = gap > 0 if k == 0 else (gap > 0) & (F.col("n_tokens") <= gap)
+        cut, left = _threshold(rated.where(F.col("score").isNotNull() & ~extra & fits).select("place", "score", "n_tokens"), wanted, k + 1 == FILL_ROUNDS)
+        extra = extra | F.coalesce(fits & (F.col("score") < _by_place(cut)), F.lit(False))
+        wanted, open_ = left, open_ & (left >= least)
+    return rated.withColumn("extra", extra)
 
 
 class Mix(NamedTuple):
@@ -384,25 +393,23 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: float |
     documents gets no tokens, and the others share its part. ``doc_id`` must be unique. With no
     usable source the mix is empty.
     """
-    spark = documents.sparkSession
     listed = read_targets(targets)
     classifier = fit_classifier(documents, listed.names, name, folder)
-    rows = stage(described(documents, classifier, name, folder).where("n_tokens > 0"), "described")
-    own = spark.createDataFrame([(n,) for n in listed.names], "listed_ string")
-    named = rows.join(own, F.col("source") == F.col("listed_")).select("doc_id", "source", "n_tokens", "soft")
-    groups = stage(named.groupBy("source", "soft").agg(F.sum("n_tokens").alias("n_tokens")), "groups")
+    rows = stage(described(documents, listed.names, classifier, name, folder).where("n_tokens > 0"), "described")
+    own = F.col("place") < len(listed.names)
+    groups = stage(rows.where(own).groupBy("place", "soft").agg(F.sum("n_tokens").alias("n_tokens")), "groups")
     steps, size, aim = fit_rates(groups, listed, total_tokens)
     kind = documents.schema["doc_id"].dataType.simpleString()
-    rated = named.mapInArrow(_rate_batches(steps), f"doc_id {kind}, source string, n_tokens long, soft array<struct<place: int, n: int>>, rate double")
+    rated = rows.where(own).mapInArrow(_rate_batches(steps), f"doc_id {kind}, source string, place int, n_tokens long, soft array<struct<place: int, n: int>>, rate double")
     whole = F.floor(F.col("rate") + 1e-9)
     fraction = F.greatest(F.col("rate") - whole, F.lit(0.0))
     rated = rated.withColumn("whole", whole.cast("int")).withColumn("score", F.when(fraction > 1e-9, _uniform(seed) / (_uniform(seed) + fraction)))
     rated = stage(rated.drop("rate"), "rated")
-    aims = spark.createDataFrame([(n, float(a * size)) for n, a in zip(listed.names, aim)], "source string, aim double")
-    sure = rated.groupBy("source").agg(F.sum(F.col("whole") * F.col("n_tokens")).alias("sure")).withColumnRenamed("source", "s_")
-    wanted = stage(aims.join(sure, F.col("source") == F.col("s_"), "left").select("source", F.greatest(F.col("aim") - F.coalesce("sure", F.lit(0)), F.lit(0.0)).alias("wanted"), F.greatest(F.lit(1.0), F.col("aim") * OPEN).alias("least")), "wanted")
-    taken = _taken(rated, wanted).withColumn("n_copies", F.col("whole") + F.col("extra").cast("int")).where("n_copies > 0")
-    return Mix(taken.select("doc_id", "source", "n_copies", "n_tokens"), _shares(taken, rows.join(own, F.col("source") == F.col("listed_"), "left_anti"), listed, spark))
+    sure = np.zeros(len(aim))
+    for r in rated.groupBy("place").agg(F.sum(F.col("whole") * F.col("n_tokens")).alias("sure")).collect():  # one row a listed source
+        sure[r.place] = r.sure
+    taken = _taken(rated, np.maximum(aim * size - sure, 0.0), np.maximum(1.0, aim * size * OPEN)).withColumn("n_copies", F.col("whole") + F.col("extra").cast("int")).where("n_copies > 0")
+    return Mix(taken.select("doc_id", "source", "n_copies", "n_tokens"), _shares(taken, rows.where(~own), listed, documents.sparkSession))
 
 
 def _soft_tokens(rows: DataFrame, tokens: Column, name: str) -> DataFrame:

@@ -115,3 +115,30 @@ def test_many_domains_are_scored_alike(monkeypatch):
     monkeypatch.setattr(mixing, "DOMAINS_AT_ONCE", 2)
     monkeypatch.setattr(mixing, "AT_ONCE", 50)
     assert np.allclose(one, mixing.Classifier(*parts, dict.fromkeys(range(5), 10), 500).posteriors(ids), atol=1e-4)
+
+
+def test_steps_between_jobs_cost_the_driver_no_joins(spark):
+    """Every broadcast of a table of sources, and every exchange of a round, left a table and a thread on the driver."""
+    df, t = documents(spark, 300), targets(spark, [("math", 0.6, 1), ("chat", 0.3, 2), ("rare", 0.1, 3)])
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+
+    def executions():
+        bus.waitUntilEmpty()
+        found = store.executionsList()
+        return {(e := found.apply(i)).executionId(): e.physicalPlanDescription() for i in range(found.size())}
+
+    earlier = executions()
+    assert mix_sources(df, t).documents.count() > 0
+    plans = [p for k, p in executions().items() if k not in earlier]
+    rounds = [p for p in plans if "sums" in p]
+    assert not [p for p in plans if "Broadcast" in p and "Exchange" in p.partition("Broadcast")[2]]
+    assert len(rounds) > 1 and not [p for p in rounds if "Exchange" in p]
+
+
+def test_a_long_document_leaves_no_gap(spark):
+    """What a source's longest documents leave open is filled by shorter ones, for each source by its own threshold."""
+    rows = [(i, "math" if i % 2 else "chat", " ".join(WORDS["math" if i % 2 else "chat"][:1] * (400 if i < 20 else 3)), "") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, soft string").repartition(3)
+    shares = {r.source: r for r in mix_sources(df, targets(spark, [("math", 0.7, 1), ("chat", 0.3, 1), ("none", 0.0, 1)])).shares.collect()}
+    assert shares["math"].actual_share == pytest.approx(0.7, abs=0.002) and shares["chat"].actual_share == pytest.approx(0.3, abs=0.002)
+    assert shares["none"].n_copies == 0
