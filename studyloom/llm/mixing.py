@@ -321,8 +321,8 @@ def _uniform(seed: int) -> Column:
 
 
 def _by_place(of_place: np.ndarray) -> Column:
-    """A row's number among those of all listed sources."""
-    return F.get(F.lit(of_place.tolist()).cast("array<double>"), F.col("place"))
+    """A row's number among those of all listed sources, which are one constant of the plan (a literal for each took long for thousands of sources)."""
+    return F.get(F.split(F.lit(" ".join(map(repr, of_place.tolist()))), " ").cast("array<double>"), F.col("place"))
 
 
 def _passed(rated: DataFrame, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> np.ndarray:
